@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, pieces, secrets, simhash, token_counts, topk
+from . import packing, pages, pieces, secrets, simhash, token_counts, topk
 from .common import scratch_path
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -35,6 +35,10 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(_documents(spark, sf_dir), PIECES)
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), WORD_BPE)
 
@@ -48,7 +52,7 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_token_counts, token_counts_words, op3_simhash, op4_pieces, op6_packing, op7_secrets, op8_topk)}
+    op1_token_counts, token_counts_words, op3_simhash, op4_pieces, op5_main_text, op6_packing, op7_secrets, op8_topk)}
 
 ORACLE_SQL = {
     "token_counts_words": """
