@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, pages, pieces, secrets, simhash, token_counts, topk
+from . import packing, pages, pieces, quality, secrets, simhash, token_counts, topk, urls
 from .common import scratch_path
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -51,8 +51,16 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_documents(spark, sf_dir))
+
+
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_token_counts, token_counts_words, op3_simhash, op4_pieces, op5_main_text, op6_packing, op7_secrets, op8_topk)}
+    op1_token_counts, token_counts_words, op3_simhash, op4_pieces, op5_main_text, op6_packing, op7_secrets, op8_topk, op9_quality, op10_urls)}
 
 ORACLE_SQL = {
     "token_counts_words": """
