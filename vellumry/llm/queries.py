@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, pages, pieces, quality, secrets, simhash, token_counts, topk, urls
+from . import lm, packing, pages, pieces, quality, secrets, simhash, token_counts, topk, urls
 from .common import scratch_path
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -27,6 +27,10 @@ def token_counts_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_corpus(_documents(spark, sf_dir), scratch_path(spark, "rollup"), None)
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(_documents(spark, sf_dir), BYTE_RANKS, public_tokenizers.PATTERN)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
@@ -60,7 +64,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_token_counts, token_counts_words, op3_simhash, op4_pieces, op5_main_text, op6_packing, op7_secrets, op8_topk, op9_quality, op10_urls)}
+    op1_token_counts, token_counts_words, op2_lm_scores, op3_simhash, op4_pieces, op5_main_text, op6_packing, op7_secrets, op8_topk, op9_quality, op10_urls)}
 
 ORACLE_SQL = {
     "token_counts_words": """
