@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import minwise
 from .common import bytes_of, slices, stash
 from .components import components
 
@@ -257,14 +258,21 @@ def near_duplicates(docs: DataFrame, words: int = 3, list_rows: int = LIST_ROWS)
 
 
 def keep_one(docs: DataFrame, words: int = 3) -> DataFrame:
-    """docs without near-duplicates: of each component the row with the smallest doc_id stays.
+    """docs without near-duplicates: of each group the row with the smallest doc_id stays.
 
-    Rows that repeat this doc_id are copies themselves, so one of them (the least) stays.  Rows
-    without a doc_id cannot be named as anybody's copy and pass unchanged.
+    Groups are the components of near_duplicates() joined by the links of minwise.links(), which
+    sees the copies from a similarity of 0.8 on that 3 bits of SimHash do not.  Rows that repeat
+    the doc_id that stays are copies themselves, so one of them (the least) stays.  Rows without a
+    doc_id cannot be named as anybody's copy and pass unchanged.
     """
     order = docs.columns
     named = docs.where("doc_id is not null")
-    firsts = near_duplicates(named, words).where("doc_id = component_id").select("doc_id").distinct()
+    of = stash(near_duplicates(named, words).select("doc_id", "component_id").distinct(), "simhash-components")
+    wide = minwise.links(named)
+    by = lambda name: of.select(F.col("doc_id").alias(name), F.col("component_id").alias(f"_{name}"))
+    edges = wide.join(by("a"), "a").join(by("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    gone = components(edges).where("node != root").select(F.col("node").alias("doc_id"))
+    firsts = of.where("doc_id = component_id").select("doc_id").join(gone, "doc_id", "left_anti")
     kept = named.join(firsts, "doc_id", "left_semi")
     others = [c for c in order if c != "doc_id"]
     one = kept.groupBy("doc_id").agg(F.min(F.struct(*others)).alias("_row"))
