@@ -339,7 +339,7 @@ def nearest_column(spark, sf_dir):
     return relational.nearest_interval(points, column_intervals(spark, sf_dir), "g", "seq", "x")
 
 
-_BASE = "(SELECT l_suppkey AS g, l_orderkey * 8 + l_linenumber AS seq, (l_orderkey * 8 + l_linenumber) * 2.0 AS y, 10 + (l_quantity::INTEGER % 3) * 0.6 AS size FROM lineitem)"
+_BASE = "(SELECT l_suppkey AS g, l_orderkey * 8 + l_linenumber AS seq, (l_orderkey * 8 + l_linenumber) * 2.0 AS y, 10 + max(l_quantity::INTEGER % 3) * 0.6 AS size FROM lineitem GROUP BY ALL)"
 
 
 @query(f"""SELECT g, seq, sum(new) OVER (PARTITION BY g ORDER BY seq ROWS UNBOUNDED PRECEDING)::BIGINT AS para_no FROM (
@@ -347,8 +347,9 @@ _BASE = "(SELECT l_suppkey AS g, l_orderkey * 8 + l_linenumber AS seq, (l_orderk
              FROM {_BASE} WINDOW w AS (PARTITION BY g ORDER BY seq))""")
 def paragraph_islands_simple(spark, sf_dir):
     """Paragraphs by pitch and size alone; the rules that depend on a paragraph's length are off."""
-    quantity = _table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"), (F.lit(10.0) + (F.col("l_quantity").cast("int") % 3) * 0.6).alias("size"), F.col("l_suppkey").alias("g"))
-    lines = quantity.withColumn("y", F.col("seq") * 2.0)
+    seq = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    lines = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("g"), seq.alias("seq")).agg((F.lit(10.0) + F.max(F.col("l_quantity").cast("int") % 3) * 0.6).alias("size"))
+    lines = lines.withColumn("y", F.col("seq") * 2.0)
     return relational.paragraph_islands(lines, "g", "seq", "y", "size").select("g", "seq", "para_no")
 
 

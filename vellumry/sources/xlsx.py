@@ -38,11 +38,12 @@ def rich_text(node: xmlio.Element | None) -> str:
 
 
 def format_kind(code: str) -> str:
-    """date, time, percent or empty, by a custom format code."""
+    """date, time, percent or empty, by a custom format code.  Parts in brackets do not count, so
+    elapsed times are told by their minutes."""
     bare = re.sub(r'"[^"]*"|\[[^\]]*\]|\\.|_.|\*.', "", code).lower()
     day, clock = re.search("[dy]", bare), re.search("[hs]", bare)
     if day or clock or ("m" in bare and not re.search("[0#]", bare)):
-        return "time" if clock and not day else "date"
+        return "date" if day else "time"
     return "percent" if "%" in bare else ""
 
 
