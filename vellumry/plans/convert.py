@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField, StructType
 
+from .. import ship
 from ..functions import columns as C
 from ..functions.text import MIME_TYPES, decode_text, rows_to_csv, stem, trim_end
 from ..operators import layout, model
@@ -168,6 +169,7 @@ def emit(documents: DataFrame) -> DataFrame:
 def convert(files: DataFrame, target: str) -> DataFrame:
     """doc_id, output_no, name, type, data, error: files (doc_id, name, declared, content) turned
     into target.  What cannot be converted is refused before anything is parsed."""
+    ship(files.sparkSession)
     to = C.normalize_format(F.lit(target))
     found = detect(files).withColumn("target", to)
     why = matrix.refusal(F.col("source"), F.col("target"), F.length("content"), F.col("declared"))
