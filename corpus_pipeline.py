@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vellumry import ship
 from vellumry.llm import packing, quality, secrets, simhash
 from vellumry.llm.common import stash
 from vellumry.llm.queries import WORD_BPE
@@ -15,21 +16,25 @@ from vellumry.llm.queries import WORD_BPE
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules or the robust outlier test reject go."""
+    ship(spark)
     return quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates one document stays."""
+    ship(spark)
     return simhash.keep_one(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret in a text is replaced by its kind in brackets; no document goes."""
+    ship(spark)
     return secrets.redact(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the remaining documents and their places in sequences."""
+    ship(spark)
     return packing.pack(docs, WORD_BPE)
 
 
