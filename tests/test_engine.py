@@ -38,6 +38,25 @@ def test_column_renderings_equal_their_python_twins(spark, rows):
         assert [(s.name, s.rows) for s in r.s] == convert.to_sheets(pages, r.source)
 
 
+LIGHT = [("a.csv", "json", b'h,2,"x"\n1,"a,b"\n', '[\n  {\n    "2": "a,b",\n    "h": "1",\n    "x": ""\n  }\n]'), ("a.json", "csv", b'[{"a":1},{"b":"x,y"}]', 'a,b\n1,\n,"x,y"'), ("a.json", "txt", b'{"a":[1,{}]}', '{\n  "a": [\n    1,\n    {}\n  ]\n}'),
+         ("a.txt", "json", b'q"\n', '{\n  "text": "q\\"\\n"\n}'), ("a.html", "txt", b"<p>x &amp; <b>y</b>", "x & y")]
+
+
+@pytest.mark.parametrize("name,target,data,want", LIGHT)
+def test_light_conversions(spark, name, target, data, want):
+    df = spark.createDataFrame([("1", name, None, bytearray(data)), ("2", name, None, bytearray(b"{"))], "doc_id string, name string, declared string, content binary")
+    got = {r.doc_id: r for r in convert.convert(df, target).collect()}
+    assert bytes(got["1"].data).decode() == want and got["1"].name == f"a.{target}"
+    assert (got["2"].error is not None) == name.endswith("json")
+    assert convert.convert_bytes(data, name, None, target)[0]["data"].decode() == want
+
+
+def test_txt_to_html_twins(spark):
+    text = "a < b & 'c'\n"
+    assert textual.text_to_html(text) == spark.range(1).select(render.text_to_html(F.lit(text)).alias("h")).first().h
+    assert convert.convert_bytes(text.encode(), "a.txt", None, "html")[0]["data"].decode() == textual.text_to_html(text)
+
+
 def test_multi_sheet_csv(spark):
     from vellumry.sources import xlsx
 

@@ -130,7 +130,7 @@ def rows_to_records(rows: list[list[str]]) -> list[dict[str, str]]:
     if not rows:
         return []
     names = header_names(rows[0])
-    order = sorted((n for n in dict.fromkeys(names) if _is_index(n)), key=int) + [n for n in dict.fromkeys(names) if not _is_index(n)]
+    order = object_order(names)
     out = []
     for row in rows[1:]:
         record = {name: (row[i] if i < len(row) else "") or "" for i, name in enumerate(names)}
@@ -138,6 +138,12 @@ def rows_to_records(rows: list[list[str]]) -> list[dict[str, str]]:
     return out
 
 
+def object_order(names) -> list[str]:
+    """Distinct names in the order that JavaScript objects list them."""
+    distinct = list(dict.fromkeys(names))
+    return sorted(filter(_is_index, distinct), key=int) + [n for n in distinct if not _is_index(n)]
+
+
 def _is_index(name: str) -> bool:
     return bool(re.fullmatch(r"0|[1-9]\d{0,9}", name)) and int(name) < 2 ** 32 - 1
 

@@ -31,6 +31,8 @@ th { background: #f0f0f0; }
 <body>
 """
 HTML_TAIL = "\n</body>\n</html>\n"
+PRE_HEAD = '<!doctype html>\n<html lang="en">\n<head>\n  <meta charset="utf-8">\n  <title>Converted Text</title>\n</head>\n<body>\n  <pre>'
+PRE_TAIL = "</pre>\n</body>\n</html>\n"
 
 
 def txt_lines(text: Column) -> Column:
@@ -134,4 +136,4 @@ def rows_to_csv(rows: Column) -> Column:
 
 def text_to_html(text: Column) -> Column:
     """The browser's rendering of a plain text: all of it preformatted."""
-    return F.concat(F.lit('<!doctype html>\n<html lang="en">\n<head>\n  <meta charset="utf-8">\n  <title>Converted Text</title>\n</head>\n<body>\n  <pre>'), C.escape_html(text), F.lit("</pre>\n</body>\n</html>\n"))
+    return F.concat(F.lit(PRE_HEAD), C.escape_html(text), F.lit(PRE_TAIL))

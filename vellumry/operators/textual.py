@@ -5,8 +5,8 @@ from __future__ import annotations
 import re
 
 from ..functions.columns import SPACE
-from ..functions.text import escape_xml, trim, trim_end
-from .render import HTML_HEAD, HTML_STYLE, HTML_TAIL
+from ..functions.text import escape_html, escape_xml, trim, trim_end
+from .render import HTML_HEAD, HTML_STYLE, HTML_TAIL, PRE_HEAD, PRE_TAIL
 
 _BREAKS = re.compile(f"{SPACE}*\n{SPACE}*")
 
@@ -48,3 +48,8 @@ def to_html(title: str, pages: list[dict]) -> str:
                 parts.append(f"<p>{strong[0]}{_shown(b['text'])}{strong[1]}</p>")
         sections.append("<section>\n" + "\n".join(parts) + "\n</section>")
     return HTML_HEAD + escape_xml(title or "Converted document") + HTML_STYLE + "\n".join(sections) + HTML_TAIL
+
+
+def text_to_html(text: str) -> str:
+    """The browser's rendering of a plain text: all of it preformatted."""
+    return PRE_HEAD + escape_html(text) + PRE_TAIL

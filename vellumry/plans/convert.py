@@ -16,9 +16,9 @@ from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField, St
 
 from .. import ship
 from ..functions import columns as C
-from ..functions.text import MIME_TYPES, decode_text, rows_to_csv, stem, trim_end
-from ..operators import layout, model
-from ..sources import csvio, docx, jsonio, limits, pptx, xlsx, zipio
+from ..functions.text import MIME_TYPES, decode_text, normalize_format, rows_to_csv, stem, trim_end
+from ..operators import layout, model, render, textual
+from ..sources import csvio, docx, htmlio, jsonio, limits, pptx, xlsx, zipio
 from ..sources.pdf import content, writer
 from . import matrix
 
@@ -99,6 +99,37 @@ def write_outputs(pages: list[dict], title: str, source: str, target: str, stamp
     raise ValueError(f"{target.upper()} output is not supported.")
 
 
+def light_output(data: bytes, source: str, target: str) -> bytes:
+    """Conversions between light formats, which work on the text without a document model."""
+    text = data.decode("utf-8", "replace").removeprefix("\ufeff")
+    made = {("csv", "json"): jsonio.from_csv, ("json", "csv"): jsonio.to_csv, ("txt", "json"): jsonio.wrap_text, ("json", "txt"): jsonio.reformat,
+            ("html", "txt"): htmlio.to_text, ("txt", "html"): textual.text_to_html}.get((source, target))
+    if made is None:
+        raise ValueError(f"{source.upper()} to {target.upper()} works on decoded images; read the folder with image_rows().")
+    return made(text).encode()
+
+
+def convert_light(files: DataFrame) -> DataFrame:
+    """doc_id, outputs, error of files (doc_id, name, source, target, content) in light formats."""
+    kind = ArrayType(OUTPUT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = pa.schema([("doc_id", pa.string()), ("outputs", _arrow(kind)), ("error", pa.string())])
+        for batch in batches:
+            for at in range(0, batch.num_rows, FILES):
+                rows = []
+                for r in batch.slice(at, FILES).to_pylist():
+                    try:
+                        data = light_output(r["content"] or b"", r["source"], r["target"])
+                        rows.append({"doc_id": r["doc_id"], "outputs": [{"name": f"{r['title']}.{r['target']}", "type": MIME_TYPES[r["target"]], "data": data}], "error": None})
+                    except Exception as e:  # as when reading
+                        rows.append({"doc_id": r["doc_id"], "outputs": None, "error": str(e) or type(e).__name__})
+                yield pa.RecordBatch.from_pylist(rows, types)
+
+    schema = StructType([StructField("doc_id", StringType()), StructField("outputs", kind), StructField("error", StringType())])
+    return files.select(F.col("doc_id").cast("string"), C.stem(F.col("name")).alias("title"), "source", "target", "content").mapInArrow(run, schema)
+
+
 def detect(files: DataFrame) -> DataFrame:
     """files (doc_id, name, declared, content) with the detected source in place of the declared."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,8 +173,6 @@ def _arrow(kind) -> pa.DataType:
 
 def emit(documents: DataFrame) -> DataFrame:
     """Outputs of documents that have a `target`: doc_id, outputs array, error."""
-    from ..operators import render
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = pa.schema([("doc_id", pa.string()), ("outputs", _arrow(ArrayType(OUTPUT))), ("error", pa.string())])
         for batch in batches:
@@ -175,27 +204,29 @@ def convert(files: DataFrame, target: str) -> DataFrame:
     why = matrix.refusal(F.col("source"), F.col("target"), F.length("content"), F.col("declared"))
     checked = found.withColumn("error", why)
     refused = checked.where("error is not null").select(F.col("doc_id").cast("string"), F.lit(None).cast(ArrayType(OUTPUT)).alias("outputs"), "error")
-    documents = read(checked.where("error is null")).withColumn("target", to)
-    done = emit(documents).unionByName(refused)
+    sound = checked.where("error is null")
+    light = matrix.is_light(F.col("source"), F.col("target"))
+    documents = read(sound.where(~light)).withColumn("target", to)
+    done = emit(documents).unionByName(convert_light(sound.where(light))).unionByName(refused)
     return done.select("doc_id", F.posexplode_outer("outputs").alias("output_no", "o"), "error").select("doc_id", "output_no", "o.name", "o.type", "o.data", "error")
 
 
 def convert_bytes(data: bytes, name: str, source: str | None, target: str) -> list[dict]:
     """One file in Python, without Spark: the same readers and writers, for tools and tests."""
-    from ..functions.text import normalize_format
-    from ..operators.textual import to_html, to_text
-
     declared = normalize_format(source or (name.rsplit(".", 1)[-1] if "." in name else ""))
     kind, to = sniff(data, declared), normalize_format(target)
     if kind == "ole":
         raise ValueError("The file is an old binary or password-protected Office file and cannot be read.")
-    if (kind, to) not in {(s, t) for s, t, e in matrix.PAIRS if e == "engine"}:
+    if kind == to or (kind, to) not in {(s, t) for s, t, _ in matrix.PAIRS}:
         raise ValueError(f"{kind.upper()} to {to.upper()} is not supported.")
     if not data:
         raise ValueError("The file is empty.")
-    pages, title = read_pages(data, kind), stem(name)
+    title = stem(name)
+    if (kind, to) in matrix.LIGHT:
+        return [{"name": f"{title}.{to}", "type": MIME_TYPES[to], "data": light_output(data, kind, to)}]
+    pages = read_pages(data, kind)
     if to in ("txt", "html"):
-        text = to_text(pages) if to == "txt" else to_html(title, pages)
+        text = textual.to_text(pages) if to == "txt" else textual.to_html(title, pages)
         return [{"name": f"{title}.{to}", "type": MIME_TYPES[to], "data": text.encode()}]
     return write_outputs(pages, title, kind, to)
 

@@ -57,6 +57,10 @@ def supported(source: Column, target: Column) -> Column:
     return F.concat(source, F.lit(">"), target).isin([f"{s}>{t}" for s, t, _ in PAIRS])
 
 
+def is_light(source: Column, target: Column) -> Column:
+    return F.concat(source, F.lit(">"), target).isin([f"{s}>{t}" for s, t in LIGHT])
+
+
 def refusal(source: Column, target: Column, size: Column, declared: Column) -> Column:
     """Why a conversion cannot start, or null.  An empty file is noticed last."""
     up = F.upper
