@@ -8,9 +8,9 @@ that share enough for the similarity are linked.  A pair at 0.8 shares a key wit
 0.9996; the tally estimates the similarity with a standard error of about 0.025.
 
 A key's members come in order of how many texts share their keys, so the original of a group of
-copies is first.  Each member is linked to its two most similar predecessors, never to all; keys
-with more than LIST_ROWS members compare each member with the first LIST_ROWS and with its own
-part of the list.
+copies is first and takes its copies at once; only members that no earlier leader takes are compared
+with all.  Links tie groups together, they are never all pairs.  Keys with more than LIST_ROWS
+members compare each part of the list with the leaders of the first part and with itself.
 """
 
 from __future__ import annotations
@@ -80,17 +80,54 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, digest binary, keys array<long>, sketch binary")
 
 
-def _best_before(ids: list, sketch: np.ndarray, pivots: tuple[list, np.ndarray] | None, out: tuple[list, list]) -> None:
-    """Link each member to its two most similar predecessors (pivots come before all)."""
-    if pivots is not None:
-        ids, sketch = pivots[0] + ids, np.vstack([pivots[1], sketch])
-    first = 1 if pivots is None else len(pivots[0])
-    for i in range(first, len(ids)):
-        shared = np.count_nonzero(sketch[:i] == sketch[i], axis=1)
-        for j in np.argpartition(-shared, 1)[:2].tolist() if i > 2 else range(i):
-            if shared[j] >= TALLY:
-                out[0].append(ids[j])
-                out[1].append(ids[i])
+def _tie(ids: list, sketch: np.ndarray, leaders: list[int], done: int, out: tuple[list, list]) -> list[int]:
+    """Link the members from `done` on, and return the leaders of all.
+
+    A member that no leader ties becomes a leader: it is compared with everything before it and
+    with everything after.  A leader takes all similar later members that are free, and of those
+    that others took it takes one for each of their groups.
+    """
+    free = np.ones(len(ids), bool)
+    free[:done] = False
+    group = np.zeros(len(ids), np.int64)  # position of the leader that took a member
+    root = {}
+
+    def find(i: int) -> int:
+        while root.setdefault(i, i) != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    def link(i: int, j: int) -> None:
+        out[0].append(ids[i])
+        out[1].append(ids[j])
+
+    def take(i: int, later: int) -> None:
+        near = later + np.flatnonzero(np.count_nonzero(sketch[later:] == sketch[i], axis=1) >= TALLY)
+        for j in near.tolist():
+            if free[j]:
+                link(i, j)
+                free[j], group[j] = False, i
+            elif find(int(group[j])) != find(i):
+                link(i, j)
+                root[find(int(group[j]))] = find(i)
+
+    for i in leaders:
+        take(i, done)
+    leaders = list(leaders)
+    for i in range(done, len(ids)):
+        if not free[i]:
+            continue
+        if i:
+            shared = np.count_nonzero(sketch[:i] == sketch[i], axis=1)
+            best = int(np.argmax(shared))
+            if shared[best] >= TALLY:
+                link(best, i)
+        free[i], group[i] = False, i
+        leaders.append(i)
+        if i + 1 < len(ids):
+            take(i, i + 1)
+    return leaders
 
 
 def links(docs: DataFrame) -> DataFrame:
@@ -114,9 +151,10 @@ def links(docs: DataFrame) -> DataFrame:
             nonlocal ids, held, pivots
             if ids:
                 rows = np.frombuffer(b"".join(held), np.uint8).reshape(-1, SKETCH)
-                _best_before(ids, rows, pivots, out)
                 if pivots is None:
-                    pivots = ids, rows
+                    pivots = ids, rows, _tie(ids, rows, [], 0, out)
+                else:
+                    _tie(pivots[0] + ids, np.vstack([pivots[1], rows]), pivots[2], len(pivots[0]), out)
             ids, held = [], []
 
         for b in batches:
