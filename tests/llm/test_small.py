@@ -322,6 +322,11 @@ def test_pages_score_the_best_container_and_keep_its_siblings():
     assert pages.main_text(page).count("Sentence") == 3 and "link" not in pages.main_text(page)
 
 
+def test_pages_articles_of_readers_are_cut_but_articles_with_comments_are_not():
+    body = "<p>Some sentence, with commas, of a good length, and so on and on.</p>"
+    assert pages.main_text(f"<article class='post comments-open'>{body}<article class='comment depth-1'>{body}{body}</article></article>").count("sentence") == 1
+
+
 # ------------------------------------------------------------------ 6 packing
 
 def check_packing(got, records, size=4096):

@@ -48,6 +48,7 @@ TAG_POINTS = {"article": 10, "main": 8, "section": 3, "div": 5, "pre": 3, "td":
 TOKEN = re.compile(r"""<(?:!--(?P<comment>.*?)(?:--!?>|\Z)|(?P<end>/)?(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|[!?/][^>]*(?:>|\Z))""", re.DOTALL)
 HINTS = re.compile(r"""(?:^|[\s/"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 WORDS = re.compile(r"[a-z]+")
+COMMENT = re.compile(r"(?:^|[\s_-])(?:comment|reply)(?:$|[\s_-])", re.IGNORECASE)
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
@@ -64,7 +65,7 @@ def _is_cut(name: str, attrs: str) -> bool:
         return True
     if not attrs or name in ("html", "body", "article", "main"):
         # an article or the page itself is not boilerplate, unless it is a reader's comment
-        return bool(attrs) and name == "article" and any("comment" in (a or b or c).lower() for _, a, b, c in HINTS.findall(attrs))
+        return bool(attrs) and name == "article" and any(COMMENT.search(a or b or c) for _, a, b, c in HINTS.findall(attrs))
     for _, a, b, c in HINTS.findall(attrs):
         if not CUT_WORDS.isdisjoint(WORDS.findall(CAMEL.sub(" ", a or b or c).lower())):
             return True
