@@ -59,3 +59,20 @@ def test_long_lists_keep_the_original_first(spark, monkeypatch):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert minwise.links(none).count() == 0 and simhash.keep_one(none).count() == 0
+
+
+def test_links_are_exact_at_the_limit(spark):
+    rng = random.Random(23)
+    texts = []
+    for base in range(40):  # distinct words, so the last k replaced give (246 - k) / (246 + k)
+        w = [f"b{base}x{i}" for i in range(250)]
+        rng.shuffle(w)
+        texts.append(" ".join(w))
+        for k in (27, 28, 34):  # 0.802, 0.796, 0.757
+            texts.append(" ".join(w[:250 - k] + [f"r{base}x{k}x{i}" for i in range(k)]))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {tuple(sorted(r)) for r in minwise.links(df).collect()}
+    for i in range(0, len(texts), 4):
+        assert similarity(texts[i], texts[i + 1]) >= 0.8 > similarity(texts[i], texts[i + 2])
+        assert any({i, i + 1} <= set(x) for x in found), i
+    assert all(similarity(texts[a], texts[b]) >= 0.8 for a, b in found)

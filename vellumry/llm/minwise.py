@@ -1,11 +1,12 @@
-"""Links between texts whose five-word shingles have a Jaccard similarity of about 0.8 or more.
+"""Links between texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
 
 SimHash at 3 bits sees few of these (about one in seven pairs from 0.8 to 1 on the test tables), so
 the near-duplicate stage adds a fingerprint of SKETCH positional bytes: byte j is the low byte of
 the j-th minwise hash.  It is searched like the SimHash one, by an inverted index and a tally: keys
 are bands of ROWS minwise values, members of one key tally their shared positional bytes, and pairs
-that share enough for the similarity are linked.  A pair at 0.8 shares a key with probability
-0.9996; the tally estimates the similarity with a standard error of about 0.025.
+that may have the similarity are verified by the exact Jaccard similarity of their shingle hashes.
+A pair at 0.8 shares a key with probability 0.9996; the tally has a standard error of about 0.025
+and only sorts out pairs that lie five of them below.
 
 A key's members come in order of how many texts share their keys, so the original of a group of
 copies is first and takes its copies at once; only members that no earlier leader takes are compared
@@ -30,32 +31,41 @@ WORDS = 5
 SIMILARITY = 0.8
 SKETCH, BANDS, ROWS = 256, 20, 5
 LIST_ROWS = 1024
-#: Shared bytes of 256 that link: the expectation at the similarity, less one standard error.
-TALLY = int(SKETCH * (SIMILARITY + (1 - SIMILARITY) / 256) - (SKETCH * SIMILARITY * (1 - SIMILARITY)) ** 0.5)
+#: Shared bytes of 256 from which a pair is verified: the expectation at the similarity, less five standard errors.
+TALLY = int(SKETCH * (SIMILARITY + (1 - SIMILARITY) / 256) - 5 * (SKETCH * SIMILARITY * (1 - SIMILARITY)) ** 0.5)
 
 _rng = np.random.default_rng(17)
 _MULTIPLY = (_rng.integers(0, 2 ** 63, SKETCH, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _ADD = _rng.integers(0, 2 ** 63, SKETCH, dtype=np.uint64)
 
 
-def minwise(text: bytes) -> tuple[np.ndarray, bytes] | None:
-    """Minwise values (high halves, mixed) of a text's shingles and the digest of its words; None
-    if it has no words."""
+def shingles(text: bytes) -> tuple[np.ndarray, bytes] | None:
+    """Sorted distinct hashes of a text's shingles and the digest of its words; None if it has no
+    words."""
     tokens = text.lower().split()
     if not tokens:
         return None
     joined = b" ".join(tokens)
     if len(tokens) <= WORDS:
-        shingles = [joined]
+        runs = [joined]
     else:
         ends = [e - 1 for e in accumulate(len(t) + 1 for t in tokens)]
         starts = [0] + [e + 1 for e in ends[:-1]]
-        shingles = [joined[s:e] for s, e in zip(starts, ends[WORDS - 1:])]
-    hashes = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(7)), np.uint64, len(shingles)))
+        runs = [joined[s:e] for s, e in zip(starts, ends[WORDS - 1:])]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(7)), np.uint64, len(runs))), xxhash.xxh3_128_digest(joined)
+
+
+def minwise(text: bytes) -> tuple[np.ndarray, bytes] | None:
+    """Minwise values (high halves, mixed) of a text's shingles and the digest of its words; None
+    if it has no words."""
+    made = shingles(text)
+    if made is None:
+        return None
+    hashes, digest = made
     least = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), 512):
         np.minimum(least, (hashes[at:at + 512, None] * _MULTIPLY + _ADD).min(axis=0), out=least)
-    return least >> np.uint64(16), xxhash.xxh3_128_digest(joined)
+    return least >> np.uint64(16), digest
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -80,13 +90,28 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, digest binary, keys array<long>, sketch binary")
 
 
-def _tie(ids: list, sketch: np.ndarray, leaders: list[int], done: int, out: tuple[list, list]) -> list[int]:
+def _shingled(docs: DataFrame) -> DataFrame:
+    """digest and shingle hashes (8 bytes each) of every row with words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            made = [m for m in map(shingles, bytes_of(b.column(0))) if m is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([d for _, d in made], pa.binary()), pa.array([h.tobytes() for h, _ in made], pa.binary())], ["digest", "hashes"])
+
+    return docs.select("text").mapInArrow(run, "digest binary, hashes binary")
+
+
+def _tie(ids: list, sketch: np.ndarray, hashes: list[np.ndarray], leaders: list[int], done: int, out: tuple[list, list]) -> list[int]:
     """Link the members from `done` on, and return the leaders of all.
 
     A member that no leader ties becomes a leader: it is compared with everything before it and
     with everything after.  A leader takes all similar later members that are free, and of those
     that others took it takes one for each of their groups.
     """
+    sizes = np.array([len(h) for h in hashes])
+    ends = np.cumsum(sizes)
+    names, flat = np.unique(np.concatenate(hashes), return_inverse=True)  # small numbers for the hashes of this list
+    shingle = [flat[e - n:e] for e, n in zip(ends, sizes)]
+    marked = np.zeros(len(names), bool)
     free = np.ones(len(ids), bool)
     free[:done] = False
     group = np.zeros(len(ids), np.int64)  # position of the leader that took a member
@@ -102,15 +127,28 @@ def _tie(ids: list, sketch: np.ndarray, leaders: list[int], done: int, out: tupl
         out[0].append(ids[i])
         out[1].append(ids[j])
 
+    def near(i: int, start: int, end: int) -> list[int]:
+        """Members from start to end that may be similar to i, by tally and by size."""
+        tally = np.count_nonzero(sketch[start:end] == sketch[i], axis=1) >= TALLY
+        n = sizes[start:end]
+        return (start + np.flatnonzero(tally & (np.minimum(n, sizes[i]) >= SIMILARITY * np.maximum(n, sizes[i])))).tolist()
+
+    def similarity(j: int) -> float:
+        """Exact Jaccard similarity of j and the member whose shingles are marked."""
+        both = np.count_nonzero(marked[shingle[j]])
+        return both / (sizes[j] + np.count_nonzero(marked) - both)
+
     def take(i: int, later: int) -> None:
-        near = later + np.flatnonzero(np.count_nonzero(sketch[later:] == sketch[i], axis=1) >= TALLY)
-        for j in near.tolist():
+        marked[shingle[i]] = True
+        for j in near(i, later, len(ids)):
             if free[j]:
-                link(i, j)
-                free[j], group[j] = False, i
-            elif find(int(group[j])) != find(i):
+                if similarity(j) >= SIMILARITY:
+                    link(i, j)
+                    free[j], group[j] = False, i
+            elif find(int(group[j])) != find(i) and similarity(j) >= SIMILARITY:
                 link(i, j)
                 root[find(int(group[j]))] = find(i)
+        marked[shingle[i]] = False
 
     for i in leaders:
         take(i, done)
@@ -119,10 +157,11 @@ def _tie(ids: list, sketch: np.ndarray, leaders: list[int], done: int, out: tupl
         if not free[i]:
             continue
         if i:
-            shared = np.count_nonzero(sketch[:i] == sketch[i], axis=1)
-            best = int(np.argmax(shared))
-            if shared[best] >= TALLY:
-                link(best, i)
+            marked[shingle[i]] = True
+            best = max(((similarity(j), -j) for j in near(i, 0, i)), default=(0, 0))
+            marked[shingle[i]] = False
+            if best[0] >= SIMILARITY:
+                link(-best[1], i)
         free[i], group[i] = False, i
         leaders.append(i)
         if i + 1 < len(ids):
@@ -132,33 +171,37 @@ def _tie(ids: list, sketch: np.ndarray, leaders: list[int], done: int, out: tupl
 
 def links(docs: DataFrame) -> DataFrame:
     """Links (a, b) of doc_ids; of texts with the same words only the smallest doc_id takes part."""
-    made = stash(sketches(docs.where("doc_id is not null")), "minwise")
+    named = docs.where("doc_id is not null")
+    made = stash(sketches(named), "minwise")
     kind = docs.schema["doc_id"].dataType
-    texts = stash(made.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")).drop("digest"), "minwise-texts")
-    keyed = texts.select(F.explode("keys").alias("key"), "doc_id")
+    texts = stash(made.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "minwise-texts")
+    keyed = texts.select(F.explode("keys").alias("key"), "digest")
     members = stash(keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"), "minwise-keys")
-    ranks = members.groupBy("doc_id").agg(F.sum("n").alias("shares"))
-    known = texts.join(ranks, "doc_id").select("doc_id", "shares", "sketch")
+    ranks = members.groupBy("digest").agg(F.sum("n").alias("shares"))
+    listed = stash(texts.join(ranks, "digest").select("digest", "doc_id", "shares", "sketch"), "minwise-listed")
+    # shingles of listed texts only: those of all would be as large as the texts
+    full = _shingled(named.join(listed.select("doc_id").distinct(), "doc_id", "left_semi")).groupBy("digest").agg(F.first("hashes").alias("hashes"))
+    known = stash(listed.join(full, "digest"), "minwise-known")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = members.select("key", "doc_id").join(known, "doc_id").select("key", "shares", "doc_id", "sketch")
+    dealt = members.select("key", "digest").join(known, "digest").select("key", "shares", "doc_id", "sketch", "hashes")
     dealt = dealt.repartition(parts, "key").sortWithinPartitions("key", F.desc("shares"), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, held, pivots = None, [], [], None
+        key, ids, held, shingled, pivots = None, [], [], [], None
         out: tuple[list, list] = ([], [])
 
         def close() -> None:
-            nonlocal ids, held, pivots
+            nonlocal ids, held, shingled, pivots
             if ids:
                 rows = np.frombuffer(b"".join(held), np.uint8).reshape(-1, SKETCH)
                 if pivots is None:
-                    pivots = ids, rows, _tie(ids, rows, [], 0, out)
+                    pivots = ids, rows, shingled, _tie(ids, rows, shingled, [], 0, out)
                 else:
-                    _tie(pivots[0] + ids, np.vstack([pivots[1], rows]), pivots[2], len(pivots[0]), out)
-            ids, held = [], []
+                    _tie(pivots[0] + ids, np.vstack([pivots[1], rows]), pivots[2] + shingled, pivots[3], len(pivots[0]), out)
+            ids, held, shingled = [], [], []
 
         for b in batches:
-            for k, doc_id, sketch in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+            for k, doc_id, sketch, hashes in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4))):
                 if k != key:
                     close()
                     key, pivots = k, None
@@ -166,6 +209,7 @@ def links(docs: DataFrame) -> DataFrame:
                     close()
                 ids.append(doc_id)
                 held.append(sketch)
+                shingled.append(np.frombuffer(hashes, np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(x, b.schema.field(2).type) for x in out], ["a", "b"])
             out = ([], [])
         close()
