@@ -447,6 +447,22 @@ def test_topk(spark):
     assert topk.top_k(df.where("vec_id = 20")).count() == 0
 
 
+@pytest.mark.parametrize("block", [8192, 50])
+def test_topk_repeated_query_id(spark, monkeypatch, block):
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", block)
+    rng = np.random.default_rng(10)
+    known = [(i, rng.integers(-9, 9, 4).tolist()) for i in range(130)]
+    known += [(20, [9, 9, 9, 9])] * 30 + [(40, [-9, 8, 8, 8])] * 3 + [(40, [9, 8, 8, 8])] * 3
+    df = spark.createDataFrame([(i, [v / 64 for v in w]) for i, w in known], "vec_id long, embedding array<double>")
+    want = set()
+    for i in range(0, 130, 20):
+        q = min(w for j, w in known if j == i)
+        scores = sorted((-sum(a * b for a, b in zip(q, c)), j) for j, c in known if j != i)[:20]
+        want |= {(i, r, j, -s) for r, (s, j) in enumerate(scores, 1)}
+    got = [tuple(r) for r in topk.top_k(df).select("query_id", "rank", "vec_id", "score").collect()]
+    assert len(got) == 7 * 20 and set(got) == want
+
+
 def test_topk_blocks_agree(spark, monkeypatch):
     rng = np.random.default_rng(9)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 4)).round(1))], "vec_id long, embedding array<float>")

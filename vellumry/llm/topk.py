@@ -53,7 +53,7 @@ def accumulate(query_ids: np.ndarray, queries: list, ids: np.ndarray, candidates
         if len(rows):
             full = len(rows) == len(ids)
             postings[t] = (slice(None) if full else at[rows], flat[rows])
-    keep, out = min(top + 1, len(ids)), ([], [], [])
+    out = ([], [], [])
     for q0 in range(0, len(query_ids), ARRAYS):
         for qid, query in zip(query_ids[q0:q0 + ARRAYS], queries[q0:q0 + ARRAYS]):
             scores = np.zeros(len(ids), np.int64)
@@ -61,6 +61,8 @@ def accumulate(query_ids: np.ndarray, queries: list, ids: np.ndarray, candidates
                 if weight and t in postings:
                     where, values = postings[t]
                     scores[where] += np.int64(weight) * values
+            own = int(np.searchsorted(ids, qid, "right") - np.searchsorted(ids, qid))  # its rows leave after the selection
+            keep = min(top + own, len(ids))
             if keep < len(ids):  # partition, then let ties at the border in by the smallest id
                 bound = np.partition(scores, len(ids) - keep)[len(ids) - keep]
                 best = np.flatnonzero(scores > bound)
@@ -84,11 +86,11 @@ def top_k(vectors: DataFrame, every: int = 20, top: int = TOP) -> DataFrame:
     `top` best other vectors by integer inner product, ties to the smaller vec_id.
 
     All candidates if there are fewer; a query without other vectors has no rows.  Rows that repeat
-    a vec_id are candidates each, and as queries count once.  No vectors give no rows.  Queries
+    a vec_id are candidates each, and as queries count once, with the least weights.  No vectors give no rows.  Queries
     meet candidates in blocks by an equi-join on the block pair, never by a cross join.
     """
     known = weights(vectors)
-    queries = known.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
+    queries = known.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("w").alias("w"))
     n, m = known.count(), queries.count()
     q_blocks, c_blocks = max(1, -(-m // QUERY_BLOCK)), max(1, -(-n // CANDIDATE_BLOCK))
     left = queries.select(_block_of("vec_id", q_blocks).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("cb"), "vec_id", "w")
