@@ -130,3 +130,13 @@ def test_catalogue_against_duckdb(spark, sf_dir, name):
 
 def test_every_query_has_an_oracle():
     assert set(catalogue.QUERIES) == set(catalogue.ORACLE_SQL)
+
+
+def test_pages_and_texts_of_every_kind_are_taken(spark, tmp_path):
+    pages = [(1, None, ""), (2, "<body><p>a&amp</p>b &am</body>", "a&b &am"), (3, "<title>x&am</title><body>&quot<i>c</i>&quo-&qu &q&a&copy;</body>", '"c&quo-&qu &q&a©'), (4, "<body>é &amp; e</body>", "é & e"), (5, "", "")]
+    texts = [(1, None), (2, "naïve Ærø straße, x"), (3, "日本 text عربى a\n\nb"), (4, ""), (5, "plain 😀 words")]
+    spark.createDataFrame([p[:2] for p in pages], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {tuple(r) for r in catalogue.QUERIES["html_to_text_all"](spark, str(tmp_path)).select("page_id", "text").collect()} == {(i, t) for i, _, t in pages}
+    want = {(str(i), sum(c.isascii() and c.isalpha() for c in t) if t else None) for i, t in texts}
+    assert {tuple(r) for r in catalogue.QUERIES["pdf_roundtrip_all"](spark, str(tmp_path)).select("doc_id", "letters").collect()} == want
