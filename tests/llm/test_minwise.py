@@ -76,3 +76,26 @@ def test_links_are_exact_at_the_limit(spark):
         assert similarity(texts[i], texts[i + 1]) >= 0.8 > similarity(texts[i], texts[i + 2])
         assert any({i, i + 1} <= set(x) for x in found), i
     assert all(similarity(texts[a], texts[b]) >= 0.8 for a, b in found)
+
+
+def one_list(spark, monkeypatch, rows, texts):
+    """Groups by the links of texts that all meet in one list, in order of their ids."""
+    monkeypatch.setattr(minwise, "ROWS", 0)
+    monkeypatch.setattr(minwise, "BANDS", 1)
+    monkeypatch.setattr(minwise, "LIST_ROWS", rows)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    group = list(range(len(texts)))
+    for a, b in minwise.links(df).collect():
+        group = [min(group[a], group[b]) if g in (group[a], group[b]) else g for g in group]
+    return group
+
+
+def test_parts_of_a_list_meet_all_leaders_before(spark, monkeypatch):
+    texts = [" ".join(f"t{n}x{i}" for i in range(100)) for n in range(8)]
+    texts += [t + " end" for t in texts]
+    assert one_list(spark, monkeypatch, 4, texts) == [*range(8), *range(8)]
+
+
+def test_a_leader_ties_all_groups_it_reaches(spark, monkeypatch):
+    texts = [" ".join(f"w{i}" for i in range(s, s + 250)) for s in (0, 100, 25, 75, 50)]
+    assert one_list(spark, monkeypatch, 100, texts) == [0] * 5

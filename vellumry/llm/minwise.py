@@ -11,7 +11,8 @@ and only sorts out pairs that lie five of them below.
 A key's members come in order of how many texts share their keys, so the original of a group of
 copies is first and takes its copies at once; only members that no earlier leader takes are compared
 with all.  Links tie groups together, they are never all pairs.  Keys with more than LIST_ROWS
-members compare each part of the list with the leaders of the first part and with itself.
+members compare each part of the list with itself, with the first part and with the leaders of all
+parts before.
 """
 
 from __future__ import annotations
@@ -100,21 +101,20 @@ def _shingled(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "digest binary, hashes binary")
 
 
-def _tie(ids: list, sketch: np.ndarray, hashes: list[np.ndarray], leaders: list[int], done: int, out: tuple[list, list]) -> list[int]:
-    """Link the members from `done` on, and return the leaders of all.
+def _tie(ids: list, sketch: np.ndarray, hashes: list[np.ndarray], leaders: list[int], known: list[int], out: tuple[list, list]) -> tuple[list[int], list[int]]:
+    """Link the members after those whose groups are known, and return the leaders and the groups
+    of all; a group is named by the position of one of its leaders.
 
     A member that no leader ties becomes a leader: it is compared with everything before it and
-    with everything after.  A leader takes all similar later members that are free, and of those
-    that others took it takes one for each of their groups.
+    with everything after, and tied to one member of each group it reaches.  A leader takes all
+    similar later members that are free.
     """
-    sizes = np.array([len(h) for h in hashes])
-    ends = np.cumsum(sizes)
-    names, flat = np.unique(np.concatenate(hashes), return_inverse=True)  # small numbers for the hashes of this list
-    shingle = [flat[e - n:e] for e, n in zip(ends, sizes)]
-    marked = np.zeros(len(names), bool)
+    done = len(known)
     free = np.ones(len(ids), bool)
     free[:done] = False
     group = np.zeros(len(ids), np.int64)  # position of the leader that took a member
+    group[:done] = known
+    sizes = np.array([len(h) for h in hashes])
     root = {}
 
     def find(i: int) -> int:
@@ -123,50 +123,38 @@ def _tie(ids: list, sketch: np.ndarray, hashes: list[np.ndarray], leaders: list[
             i = root[i]
         return i
 
-    def link(i: int, j: int) -> None:
-        out[0].append(ids[i])
-        out[1].append(ids[j])
-
     def near(i: int, start: int, end: int) -> list[int]:
         """Members from start to end that may be similar to i, by tally and by size."""
         tally = np.count_nonzero(sketch[start:end] == sketch[i], axis=1) >= TALLY
         n = sizes[start:end]
         return (start + np.flatnonzero(tally & (np.minimum(n, sizes[i]) >= SIMILARITY * np.maximum(n, sizes[i])))).tolist()
 
-    def similarity(j: int) -> float:
-        """Exact Jaccard similarity of j and the member whose shingles are marked."""
-        both = np.count_nonzero(marked[shingle[j]])
-        return both / (sizes[j] + np.count_nonzero(marked) - both)
-
-    def take(i: int, later: int) -> None:
-        marked[shingle[i]] = True
-        for j in near(i, later, len(ids)):
-            if free[j]:
-                if similarity(j) >= SIMILARITY:
-                    link(i, j)
-                    free[j], group[j] = False, i
-            elif find(int(group[j])) != find(i) and similarity(j) >= SIMILARITY:
-                link(i, j)
-                root[find(int(group[j]))] = find(i)
-        marked[shingle[i]] = False
+    def similar(i: int, j: int) -> bool:
+        """Whether the exact Jaccard similarity reaches the limit."""
+        a, b = hashes[i], hashes[j]
+        both = np.count_nonzero(a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b)
+        return both / (len(a) + len(b) - both) >= SIMILARITY
+
+    def take(i: int, start: int, end: int) -> None:
+        for j in near(i, start, end):
+            if (free[j] or find(int(group[j])) != find(int(group[i]))) and similar(i, j):
+                out[0].append(ids[i])
+                out[1].append(ids[j])
+                if free[j]:
+                    free[j], group[j] = False, group[i]
+                else:
+                    root[find(int(group[j]))] = find(int(group[i]))
 
     for i in leaders:
-        take(i, done)
+        take(i, done, len(ids))
     leaders = list(leaders)
     for i in range(done, len(ids)):
-        if not free[i]:
-            continue
-        if i:
-            marked[shingle[i]] = True
-            best = max(((similarity(j), -j) for j in near(i, 0, i)), default=(0, 0))
-            marked[shingle[i]] = False
-            if best[0] >= SIMILARITY:
-                link(-best[1], i)
-        free[i], group[i] = False, i
-        leaders.append(i)
-        if i + 1 < len(ids):
-            take(i, i + 1)
-    return leaders
+        if free[i]:
+            free[i], group[i] = False, i
+            leaders.append(i)
+            take(i, 0, i)
+            take(i, i + 1, len(ids))
+    return leaders, [find(int(g)) for g in group]
 
 
 def links(docs: DataFrame) -> DataFrame:
@@ -195,9 +183,14 @@ def links(docs: DataFrame) -> DataFrame:
             if ids:
                 rows = np.frombuffer(b"".join(held), np.uint8).reshape(-1, SKETCH)
                 if pivots is None:
-                    pivots = ids, rows, shingled, _tie(ids, rows, shingled, [], 0, out)
+                    pivots = ids, rows, shingled, *_tie(ids, rows, shingled, [], [], out)
                 else:
-                    _tie(pivots[0] + ids, np.vstack([pivots[1], rows]), pivots[2] + shingled, pivots[3], len(pivots[0]), out)
+                    done = len(pivots[0])
+                    every = pivots[0] + ids, np.vstack([pivots[1], rows]), pivots[2] + shingled
+                    leaders, group = _tie(*every, pivots[3], pivots[4], out)
+                    stay = [*range(done), *(i for i in leaders if i >= done)]
+                    place = {i: n for n, i in enumerate(stay)}
+                    pivots = [every[0][i] for i in stay], every[1][stay], [every[2][i] for i in stay], [place[i] for i in leaders], [place[group[i]] for i in stay]
             ids, held, shingled = [], [], []
 
         for b in batches:
