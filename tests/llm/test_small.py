@@ -258,12 +258,25 @@ def test_pieces_equal_the_library(docs, none):
     got = {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256, r.n_bytes) for r in pieces.encode_documents(docs, PIECES).collect()}
     want = set()
     for r in rows():
-        ids = lib.encode(r[1] or "")
+        ids = lib.encode(r[1] or "", add_bos=True, add_eos=True)
         want.add((r[0], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(lib.decode(ids).encode()).hexdigest(), len((r[1] or "").encode())))
     assert got == want and pieces.encode_documents(docs, PIECES).count() == len(rows())
     assert pieces.encode_documents(none, PIECES).count() == 0
 
 
+def test_pieces_whole_table_and_a_long_text(spark, sf_dir):
+    lib = pieces.encoder(PIECES).library
+    rng = random.Random(7)
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    long = "".join(rng.choices(["straße ", "the ", "日本", "\n", "  ", "x", "1,5 "], k=1_500_000))
+    docs = table.unionByName(spark.createDataFrame([(-1, long)], "doc_id long, text string"))
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in pieces.encode_documents(docs, PIECES).collect()}
+    for i, text in [*map(tuple, table.collect()), (-1, long)]:
+        ids = lib.encode(text or "", add_bos=True, add_eos=True)
+        assert got[i] == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(lib.decode(ids).encode()).hexdigest())
+    assert pieces.encoder(PIECES).framed("hello world")[0] == np.array([1, 6312, 28709, 1526, 2], "<u4").tobytes()
+
+
 def test_pieces_random_texts_and_spans():
     code, rng = pieces.Encoder(PIECES), random.Random(1)
     alphabet = [" ", "  ", "\n", "\t", "▁", "a", "the", "é", "日", "😀", ".", "\x00", "\r", "ing", "-", "é"]

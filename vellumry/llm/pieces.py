@@ -236,6 +236,14 @@ class Encoder:
             at += size
         return ids, spans
 
+    def framed(self, text: str) -> tuple[bytes, np.ndarray, bytes]:
+        """Packed ids between the model's begin and end ids, the end of every id's source byte span
+        (empty ones at the borders) and the decoded bytes.  The library decodes the two to nothing."""
+        ids, sizes, plain = self.encode(text)
+        ids = struct.pack("<I", self.library.bos_id()) + ids + struct.pack("<I", self.library.eos_id())
+        ends = np.cumsum(np.concatenate([[0], np.frombuffer(sizes, "<u4"), [0]]), dtype="<u4")
+        return ids, ends, self.decode(ids) if plain is None else plain
+
     def decode(self, ids: bytes) -> bytes:
         return self.library.decode(np.frombuffer(ids, "<u4").tolist()).encode() if ids else b""
 
@@ -266,10 +274,12 @@ def encoder(path: str) -> Encoder:
 def encode_documents(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, spans_sha256 and n_bytes for each row.
 
-    The ids equal the library's; the decoded text equals its decode(ids).  spans_sha256 digests
-    the end of every piece's original byte span as little-endian unsigned 32-bit integers, and
-    n_bytes is the end of the last span, which is the length of the text in UTF-8.  Null and empty
-    texts have no tokens; a null doc_id stays null; rows that repeat stay repeated.
+    The ids equal the library's with begin and end ids; the decoded text equals its decode(ids).
+    spans_sha256 digests the end of every id's original byte span (the begin id's is 0) as
+    little-endian unsigned 32-bit integers, and n_bytes is the end of the last span, which is the
+    length of the text in UTF-8.  Null and empty texts are the begin and the end id.  A text of any
+    length is encoded whole, in the memory of one row.  A null doc_id stays null; rows that repeat
+    stay repeated; an empty table gives no rows; only doc_id and text are read.
     """
     schema = StructType([docs.schema["doc_id"], StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType()), StructField("spans_sha256", StringType()), StructField("n_bytes", LongType())])
 
@@ -278,10 +288,8 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
         for b in slices(batches):
             out = [], [], [], [], []
             for text in texts_of(b.column(1)):
-                ids, sizes, plain = code.encode(text)
-                ends = np.cumsum(np.frombuffer(sizes, "<u4"), dtype="<u4")
-                decoded = code.decode(ids) if plain is None else plain
-                row = (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), hashlib.sha256(ends.tobytes()).hexdigest(), int(ends[-1]) if len(ends) else 0)
+                ids, ends, decoded = code.framed(text)
+                row = (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), hashlib.sha256(ends.tobytes()).hexdigest(), int(ends[-1]))
                 for column, value in zip(out, row):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, out)], schema=pa.schema([("doc_id", b.column(0).type), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("spans_sha256", pa.string()), ("n_bytes", pa.int64())]))
