@@ -4,15 +4,18 @@ Lengths are integers from 1 to the sequence size, so the whole corpus is one his
 `size` rows, and a packing is a bounded list of bin kinds with counts.  The plan is made from the
 histogram alone; documents then find their place by arithmetic on their rank within their length.
 
-1. Large lengths (over size / LARGE_PARTS) are cut into GROUPS groups of equal cardinality and
-   rounded up to the largest of their group.
+1. Large lengths (over a border) are cut into groups of equal cardinality and rounded up to the
+   largest of their group.
 2. The few-size problem is solved over configurations by column generation (simplex on the
    configurations, knapsack for new ones); configuration counts are rounded down.
-3. Actual documents replace the rounded ones; whatever rounding down left over joins the rest.
+3. Actual documents replace the rounded ones.  Whatever rounding down left over is grouped and
+   solved again, until no configuration has a whole count; the last few join the rest.
 4. The rest, mostly small documents, is placed by best fit, longest first, where bins of the same
    kind are filled together.
 
-Plain best fit over all lengths is also planned, and the plan with fewer sequences is used.
+How many groups, and which lengths are large, is chosen from the histogram: the settings of TRIALS
+are planned in order until one reaches the lower bound (all tokens over the size), and the plan with
+the fewest sequences holds.  Every plan is one of linear grouping.
 """
 
 from __future__ import annotations
@@ -33,8 +36,9 @@ from tokenizers import Tokenizer, pre_tokenizers
 from .common import bytes_of, slices, stash
 
 SIZE = 4096
-GROUPS = 32
-LARGE_PARTS = 6
+#: (number of groups, parts, reserve): lengths over size / parts are large, and configurations leave a
+#: reserve of so many tokens, which small documents fill better than they fill the slack of rounding.
+TRIALS = ((64, 3, 256), (64, 3, 128), (64, 3, 512), (64, 3, 0), (32, 6, 0), (256, 3, 0))
 #: Rows of one length that are ranked together; longer classes are split by hash into more buckets.
 BUCKET_ROWS = 100_000
 CACHE_WORDS = 700_000
@@ -167,11 +171,12 @@ def configurations(sizes: list[int], counts: list[int], size: int) -> list[tuple
         columns[i][i] = max(1, min(size // s, counts[i]))
     demand = np.array(counts, float)
     basis = np.array(columns).T
-    for _ in range(60 * k):
+    for _ in range(3 * k + 100):  # any basis will do, so a degenerate end is not worth its time
         inverse = np.linalg.inv(basis)
         amounts, prices = inverse @ demand, np.ones(k) @ inverse
         new, worth = _knapsack(sizes, counts, prices, size)
-        if worth <= 1 + 1e-7:
+        bins = amounts.sum()
+        if bins - bins / max(worth, 1.0) < max(0.2, 2e-5 * bins):  # bins / worth is a lower bound of the optimum
             break
         step = inverse @ new
         ratios = np.where(step > 1e-9, amounts / np.where(step > 1e-9, step, 1), np.inf)
@@ -222,50 +227,71 @@ def _grouped(large: list[tuple[int, int]], groups: int) -> list[list[list[int]]]
     return out + [now] if now else out
 
 
-def _place_configurations(histogram: dict[int, int], size: int, groups: int, least: int) -> tuple[list[list], dict[int, int]]:
-    """Bins of the rounded problem filled with actual lengths, and the lengths that are left."""
-    large = sorted(((s, c) for s, c in histogram.items() if least <= s < size), reverse=True)
-    rest = {s: c for s, c in histogram.items() if not least <= s < size}
-    queues = _grouped(large, groups)
-    bins: list[list] = []
-    if queues:
-        merged: dict[int, list[list[int]]] = {}
-        for q in queues:  # groups with the same rounded size are one size
-            merged.setdefault(q[0][0], []).extend(q)
-        sizes = list(merged)
-        counts = [sum(c for _, c in merged[s]) for s in sizes]
-        for config, amount in configurations(sizes, counts, size):
-            n = int(amount + 1e-9)
-            slots = [i for i, k in enumerate(config) for _ in range(k)]
-            runs = [[] for _ in slots]
-            if not n or not slots:
-                continue
-            for slot, i in enumerate(slots):
-                need, queue = n, merged[sizes[i]]
-                while need and queue:
-                    take = min(need, queue[0][1])
-                    runs[slot].append([queue[0][0], take])
-                    queue[0][1] -= take
-                    need -= take
-                    if not queue[0][1]:
-                        queue.pop(0)
-                if need:
-                    runs[slot].append([0, need])  # an empty slot
-            while n:  # bins between two borders of any slot's runs are of one kind
-                step = min(r[0][1] for r in runs)
-                kind = Counter(r[0][0] for r in runs if r[0][0])
-                bins.append([step, kind])
-                n -= step
-                for r in runs:
-                    r[0][1] -= step
-                    if not r[0][1]:
-                        r.pop(0)
-        for queue in merged.values():
-            for s, c in queue:
-                rest[s] = rest.get(s, 0) + c
+def _place_configurations(histogram: dict[int, int], size: int, groups: int, least: int, reserve: int = 0) -> tuple[list[list], dict[int, int]]:
+    """Bins of the rounded problems filled with actual lengths, and the lengths that are left."""
+    most = size - reserve
+    left = {s: c for s, c in histogram.items() if least <= s < size}
+    bins = [[c, Counter({s: 1})] for s, c in left.items() if s > most]  # no partner, but room for small ones
+    rest = {s: c for s, c in histogram.items() if s not in left}
+    left = {s: c for s, c in left.items() if s <= most}
+    while left:
+        made, left = _one_round(left, most, groups)
+        bins += made
+        if not made:
+            break
+    for s, c in left.items():
+        rest[s] = rest.get(s, 0) + c
     return bins, rest
 
 
+def _one_round(large: dict[int, int], size: int, groups: int) -> tuple[list[list], dict[int, int]]:
+    """Round up within groups, solve, and fill the whole configurations with actual lengths."""
+    merged: dict[int, list[list[int]]] = {}
+    for q in _grouped(sorted(large.items(), reverse=True), groups):  # groups with the same rounded size are one size
+        merged.setdefault(q[0][0], []).extend(q)
+    sizes = list(merged)
+    counts = [sum(c for _, c in merged[s]) for s in sizes]
+    bins: list[list] = []
+    for config, amount in configurations(sizes, counts, size):
+        n = int(amount + 1e-9)
+        slots = [i for i, k in enumerate(config) for _ in range(k)]
+        if n and slots:
+            bins += _filled([(_taken(merged[sizes[i]], n)) for i in slots], n)
+    left: dict[int, int] = {}
+    for queue in merged.values():
+        for s, c in queue:
+            left[s] = left.get(s, 0) + c
+    return bins, left
+
+
+def _taken(queue: list[list[int]], need: int) -> list[list[int]]:
+    """The first `need` pieces of a group's queue as (length, count) runs; length 0 is an empty slot."""
+    out = []
+    while need and queue:
+        take = min(need, queue[0][1])
+        out.append([queue[0][0], take])
+        queue[0][1] -= take
+        need -= take
+        if not queue[0][1]:
+            queue.pop(0)
+    return out + [[0, need]] if need else out
+
+
+def _filled(runs: list[list[list[int]]], n: int) -> list[list]:
+    """`n` bins with one run of lengths per slot; bins between two borders of any run are of one kind."""
+    bins = []
+    while n:
+        step = min(r[0][1] for r in runs)
+        if kind := Counter(r[0][0] for r in runs if r[0][0]):
+            bins.append([step, kind])
+        n -= step
+        for r in runs:
+            r[0][1] -= step
+            if not r[0][1]:
+                r.pop(0)
+    return bins
+
+
 def _best_fit(bins: list[list], rest: dict[int, int], size: int) -> list[tuple[int, Kind]]:
     """Best fit of the rest, longest first, over bins grouped by the room they have left."""
     by_room: dict[int, list[list]] = {}
@@ -312,11 +338,18 @@ def _best_fit(bins: list[list], rest: dict[int, int], size: int) -> list[tuple[i
     return [(c, tuple(sorted(k.items(), reverse=True))) for entries in by_room.values() for c, k in entries]
 
 
-def plan(histogram: dict[int, int], size: int = SIZE, groups: int = GROUPS) -> list[tuple[int, Kind]]:
+def plan(histogram: dict[int, int], size: int = SIZE, trials: tuple[tuple[int, int, int], ...] = TRIALS) -> list[tuple[int, Kind]]:
     """Bin kinds with counts that hold exactly the histogram's pieces."""
-    plain = _best_fit([], dict(histogram), size)
-    grouped = _best_fit(*_place_configurations(histogram, size, groups, size // LARGE_PARTS + 1), size)
-    return min(grouped, plain, key=lambda p: sum(c for c, _ in p))
+    bound = -(-sum(s * c for s, c in histogram.items()) // size)
+    best, fewest = [], None
+    for groups, parts, reserve in trials:
+        made = _best_fit(*_place_configurations(histogram, size, groups, size // parts + 1, reserve), size)
+        n = sum(c for c, _ in made)
+        if fewest is None or n < fewest:
+            best, fewest = made, n
+        if fewest == bound:
+            break
+    return best
 
 
 def places(kinds: list[tuple[int, Kind]]) -> dict[str, np.ndarray]:
@@ -334,16 +367,18 @@ def places(kinds: list[tuple[int, Kind]]) -> dict[str, np.ndarray]:
     return dict(zip(("length", "rank", "base", "each", "offset"), table.T))
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = SIZE, groups: int = GROUPS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = SIZE, trials: tuple[tuple[int, int, int], ...] = TRIALS) -> DataFrame:
     """Pieces of all documents with their sequence_id and offset.
 
-    Null and empty texts are the end id alone, so they have one piece of one token.  Rows that
-    repeat are packed each.  No documents give no rows.  Ties among equal lengths are broken by
-    doc_id and piece.  Only the histogram (at most `size` rows) and its plan reach the driver.
+    Null and empty texts are the end id alone, so they have one piece of one token.  A text of any
+    length is tokenized whole and cut.  Rows that repeat are packed each.  No documents give no rows.
+    Which of the pieces of equal length takes which place is open, as they are alike to the plan; the
+    places of a length are dealt by hash buckets of BUCKET_ROWS and then by doc_id and piece.  Only
+    the histogram (at most `size` rows) and its plan reach the driver; only doc_id and text are read.
     """
     found = stash(pieces_of(docs, tokenizer, end_id, size), "pieces")
     histogram = {r[0]: r[1] for r in found.groupBy("length").count().collect()}
-    table = places(plan(histogram, size, groups))
+    table = places(plan(histogram, size, trials))
     buckets = {n: -(-c // BUCKET_ROWS) for n, c in histogram.items() if c > BUCKET_ROWS}
     n_buckets = F.lit(1)
     if buckets:
