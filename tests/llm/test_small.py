@@ -467,35 +467,46 @@ def test_redaction_keeps_rows_and_columns(spark, docs):
 
 # ------------------------------------------------------------------ 8 top-k
 
+def brute_topk(known, every=20, top=20):
+    """All rows of the result, repeated rows included."""
+    out = Counter()
+    for n, (i, q) in enumerate(known):
+        if i % every == 0:
+            scores = sorted((-sum(a * b for a, b in zip(q, c)), j) for k, (j, c) in enumerate(known) if k != n)[:top]
+            out.update((i, r, j, -s) for r, (s, j) in enumerate(scores, 1))
+    return out
+
+
 def test_topk(spark):
     rng = random.Random(8)
     vectors = [(i, [rng.choice([-1.0, -0.3, 0.0, 0.0, 0.26, 0.5]) for _ in range(6)], "x") for i in range(130)]
-    vectors += [(200, None, "x"), (220, [None, 1.0], "x"), (240, [float("nan")], "x"), (260, [float("inf"), 1.0], "x"), (280, [], "x"), (300, [0.5, 0.5], "x"), (7, vectors[7][1], "x")]
+    vectors += [(200, None, "x"), (220, [None, 1.0], "x"), (240, [float("nan")], "x"), (260, [float("inf"), 1.0], "x"), (280, [], "x"), (300, [0.5, 0.5], "x"), (7, vectors[7][1], "x"), (None, [0.5], "x")]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, score string")
-    known = [(i, [math.floor(64 * float(np.float32(v))) for v in x]) for i, x, _ in vectors if x is not None and all(v is not None and math.isfinite(v) for v in x)]
-    want = set()
-    for i, q in {i: q for i, q in known if i % 20 == 0}.items():
-        scores = sorted(((-sum(a * b for a, b in zip(q, c)), j) for j, c in known if j != i))[:20]
-        want |= {(i, r, j, -s) for r, (s, j) in enumerate(scores, 1)}
-    assert {tuple(r) for r in topk.top_k(df).select("query_id", "rank", "vec_id", "score").collect()} == want
+    known = [(i, [math.floor(64 * float(np.float32(v))) for v in x]) for i, x, _ in vectors if i is not None and x is not None and all(v is not None and math.isfinite(v) for v in x)]
+    assert Counter(tuple(r) for r in topk.top_k(df).select("query_id", "rank", "vec_id", "score").collect()) == brute_topk(known)
     assert topk.top_k(df.where("false")).count() == 0
     assert topk.top_k(df.where("vec_id = 20")).count() == 0
 
 
 @pytest.mark.parametrize("block", [8192, 50])
-def test_topk_repeated_query_id(spark, monkeypatch, block):
+def test_topk_repeated_query_rows(spark, monkeypatch, block):
+    """Thirty copies of one query are queries each, and candidates of one another."""
     monkeypatch.setattr(topk, "CANDIDATE_BLOCK", block)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", block // 4)
     rng = np.random.default_rng(10)
     known = [(i, rng.integers(-9, 9, 4).tolist()) for i in range(130)]
     known += [(20, [9, 9, 9, 9])] * 30 + [(40, [-9, 8, 8, 8])] * 3 + [(40, [9, 8, 8, 8])] * 3
     df = spark.createDataFrame([(i, [v / 64 for v in w]) for i, w in known], "vec_id long, embedding array<double>")
-    want = set()
-    for i in range(0, 130, 20):
-        q = min(w for j, w in known if j == i)
-        scores = sorted((-sum(a * b for a, b in zip(q, c)), j) for j, c in known if j != i)[:20]
-        want |= {(i, r, j, -s) for r, (s, j) in enumerate(scores, 1)}
-    got = [tuple(r) for r in topk.top_k(df).select("query_id", "rank", "vec_id", "score").collect()]
-    assert len(got) == 7 * 20 and set(got) == want
+    got = Counter(tuple(r) for r in topk.top_k(df).select("query_id", "rank", "vec_id", "score").collect())
+    assert got == brute_topk(known) and sum(n for (i, *_), n in got.items() if i == 20) == 31 * 20
+
+
+def test_topk_scores_are_exact_and_saturate():
+    big = 2 ** 62
+    q, i, s = topk.accumulate(np.array([0]), [[big, big, big]], np.array([0, 1, 2, 3]), np.array([0, 1, 2, 3]), [[big] * 3, [big] * 3, [-big] * 3, [1, 0, 0]], 5)
+    assert (q.tolist(), i.tolist(), s.tolist()) == ([0, 0, 0], [1, 3, 2], [topk.MOST, big, -topk.MOST])
+    q, i, s = topk.accumulate(np.array([9]), [[2 ** 40 + 1, 3]], np.array([0]), np.array([5]), [[2 ** 20 + 1]], 5)
+    assert s.tolist() == [(2 ** 40 + 1) * (2 ** 20 + 1)]
 
 
 def test_topk_blocks_agree(spark, monkeypatch):

@@ -72,10 +72,10 @@ ORACLE_SQL = {
         FROM (SELECT source, lang, len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+')) AS n FROM documents)
         WHERE n > 0 GROUP BY ALL""",
     "op8_topk": """
-        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS w FROM embeddings
+        WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS w FROM embeddings
                    WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-             s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2]))::BIGINT AS score
-                   FROM v q JOIN v c ON q.vec_id != c.vec_id WHERE q.vec_id % 20 = 0)
+             s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2]))::BIGINT AS score
+                   FROM v q JOIN v c ON q.r != c.r WHERE q.vec_id % 20 = 0)
         SELECT query_id, rank::INTEGER AS rank, vec_id, score
-        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20""",
+        FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20""",
 }

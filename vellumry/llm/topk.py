@@ -2,25 +2,32 @@
 
 Vectors become integer weights per dimension (a term).  Queries and candidates are dealt into
 blocks; a task holds one query block and one candidate block, turns the candidates into postings
-(per term: candidate positions and weights), and scatters each query term's weighted postings into
-dense score arrays.  Partition selection keeps the k best of each block, and the blocks are merged.
+(per term: candidate positions and weights), and scatters the weighted postings of each term into
+the dense score arrays of ARRAYS queries at once.  Partition selection keeps the k best of each
+block, and the blocks are merged.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stash
+
 TOP = 20
 SCALE = 64
 #: Rows of a query block and of a candidate block that meet in one task.
-QUERY_BLOCK = 2048
-CANDIDATE_BLOCK = 8192
+QUERY_BLOCK = 8192
+CANDIDATE_BLOCK = 4096
 #: Queries whose dense score arrays are held at once.
-ARRAYS = 64
+ARRAYS = 32
+#: Scores are held within this range, which leaves a mark for a query's own row.
+MOST = 2 ** 63 - 1
 
 
 def weights(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -32,76 +39,105 @@ def weights(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     return vectors.where(x.isNotNull() & F.col("vec_id").isNotNull()).where(sound).select("vec_id", whole.alias("w"))
 
 
-def accumulate(query_ids: np.ndarray, queries: list, ids: np.ndarray, candidates: list, top: int = TOP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The `top` best candidates of each query, as (query id, candidate id, score) arrays.
+def _matrix(rows: list) -> np.ndarray:
+    """Weights as a matrix, zero where a shorter vector lacks a term."""
+    sizes = np.array([len(r) for r in rows], np.int64)
+    out = np.zeros((len(rows), int(sizes.max(initial=0))), np.int64)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = np.concatenate(rows) if sizes.sum() else 0
+    return out
+
+
+def accumulate(query_rows: np.ndarray, queries: list, rows: np.ndarray, ids: np.ndarray, candidates: list, top: int = TOP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The `top` best candidates of each query, as (position of the query, candidate id, score).
 
-    Candidates come in ascending id, so an earlier position wins a tie.  Shorter vectors count as
-    zero in the terms they lack.
+    Rows name queries and candidates; a candidate of the query's own row is left out.  Candidates
+    are put in ascending id, so an earlier position wins a tie.  Shorter vectors count as zero in
+    the terms they lack.  Scores are exact; those beyond the range of a long saturate.
     """
-    order = np.argsort(ids, kind="stable")
-    ids = ids[order]
-    sizes = np.array([len(candidates[i]) for i in order], np.int64)
-    flat = np.concatenate([np.asarray(candidates[i], np.int64) for i in order]) if len(order) else np.zeros(0, np.int64)
-    term = np.concatenate([np.arange(n) for n in sizes]) if len(order) else np.zeros(0, np.int64)
-    at = np.repeat(np.arange(len(sizes)), sizes)
-    postings = {}
-    by_term = np.lexsort((at, term))
-    cuts = np.searchsorted(term[by_term], np.arange((term.max() + 2) if len(term) else 1))
-    for t, (s, e) in enumerate(zip(cuts, cuts[1:])):
-        rows = by_term[s:e]
-        rows = rows[flat[rows] != 0]
-        if len(rows):
-            full = len(rows) == len(ids)
-            postings[t] = (slice(None) if full else at[rows], flat[rows])
-    out = ([], [], [])
-    for q0 in range(0, len(query_ids), ARRAYS):
-        for qid, query in zip(query_ids[q0:q0 + ARRAYS], queries[q0:q0 + ARRAYS]):
-            scores = np.zeros(len(ids), np.int64)
-            for t, weight in enumerate(query):
-                if weight and t in postings:
-                    where, values = postings[t]
-                    scores[where] += np.int64(weight) * values
-            own = int(np.searchsorted(ids, qid, "right") - np.searchsorted(ids, qid))  # its rows leave after the selection
-            keep = min(top + own, len(ids))
-            if keep < len(ids):  # partition, then let ties at the border in by the smallest id
-                bound = np.partition(scores, len(ids) - keep)[len(ids) - keep]
-                best = np.flatnonzero(scores > bound)
-                best = np.concatenate([best, np.flatnonzero(scores == bound)[:keep]])
-            else:
-                best = np.arange(len(ids))
-            best = best[ids[best] != qid]
-            best = best[np.lexsort((ids[best], -scores[best]))][:top]
-            out[0].append(np.full(len(best), qid, np.int64))
+    order = np.lexsort((rows, ids))
+    rows, ids = rows[order], ids[order]
+    c, q = _matrix([candidates[i] for i in order]), _matrix(queries)
+    terms = min(c.shape[1], q.shape[1])
+    bound = float(np.abs(c.astype(float)).max(initial=0)) * float(np.abs(q.astype(float)).max(initial=0)) * max(terms, 1)
+    kind = np.float64 if bound < 2 ** 53 else object  # exact either way; whole doubles are the fast one
+    postings = []
+    for t in range(terms):
+        where = np.flatnonzero(c[:, t])
+        if len(where):
+            postings.append((t, slice(None) if len(where) == len(ids) else where, c[where, t].astype(kind)))
+    place = {int(r): n for n, r in enumerate(rows)}
+    out: tuple[list, list, list] = ([], [], [])
+    for q0 in range(0, len(query_rows), ARRAYS):
+        part = q[q0:q0 + ARRAYS].astype(kind)
+        scores = np.zeros((len(part), len(ids)), kind)
+        for t, where, values in postings:
+            using = np.flatnonzero(part[:, t])
+            if len(using) == len(part) and isinstance(where, slice):
+                scores += part[:, t, None] * values
+            elif len(using):
+                at = (using, where) if isinstance(where, slice) else np.ix_(using, where)
+                scores[at] += part[using, t, None] * values
+        whole = np.clip(scores, -MOST, MOST).astype(np.int64)
+        for n, row in enumerate(query_rows[q0:q0 + ARRAYS].tolist()):
+            own = place.get(row)
+            if own is not None:
+                whole[n, own] = -MOST - 1
+            keep = min(top, len(ids) - (own is not None))
+            if not keep:
+                continue
+            border = np.partition(whole[n], len(ids) - keep)[len(ids) - keep]  # then ties enter by the smallest id
+            best = np.concatenate([np.flatnonzero(whole[n] > border), np.flatnonzero(whole[n] == border)[:keep]])
+            best = best[np.lexsort((best, ~whole[n, best]))][:keep]  # ~x falls as x grows, without overflow
+            out[0].append(np.full(keep, q0 + n, np.int64))
             out[1].append(ids[best])
-            out[2].append(scores[best])
+            out[2].append(whole[n, best])
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
 
 
-def _block_of(column: str, blocks: int) -> F.Column:
-    return F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int")
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows of batches; the last column's lists stay arrays."""
+    for b in batches:
+        *plain, lists = b.columns
+        cuts, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+        for *row, s, e in zip(*(c.to_pylist() for c in plain), cuts.tolist(), cuts[1:].tolist()):
+            yield *row, flat[s:e]
 
 
 def top_k(vectors: DataFrame, every: int = 20, top: int = TOP) -> DataFrame:
-    """query_id, rank, vec_id and score: for each vector whose vec_id is divisible by `every` its
-    `top` best other vectors by integer inner product, ties to the smaller vec_id.
-
-    All candidates if there are fewer; a query without other vectors has no rows.  Rows that repeat
-    a vec_id are candidates each, and as queries count once, with the least weights.  No vectors give no rows.  Queries
-    meet candidates in blocks by an equi-join on the block pair, never by a cross join.
+    """query_id, rank, vec_id and score: for each row whose vec_id is divisible by `every` its `top`
+    best other rows by integer inner product, ties to the smaller vec_id.
+
+    All candidates if there are fewer; a query without other rows has none.  Rows that repeat a
+    vec_id are queries each and candidates each, for one another too: only a query's own row is left
+    out.  Null ids and vectors with null or non-finite components take no part; an empty vector
+    scores zero.  No vectors give no rows.  Queries meet candidates in blocks by an equi-join on the
+    block pair, never by a cross join; the rows are numbered in a stored table, so that a task that
+    runs again sees the same numbers.
     """
-    known = weights(vectors)
-    queries = known.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("w").alias("w"))
+    known = stash(weights(vectors).withColumn("row", F.monotonically_increasing_id()), "topk-vectors")
+    queries = known.where(F.col("vec_id") % every == 0)
     n, m = known.count(), queries.count()
     q_blocks, c_blocks = max(1, -(-m // QUERY_BLOCK)), max(1, -(-n // CANDIDATE_BLOCK))
-    left = queries.select(_block_of("vec_id", q_blocks).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("cb"), "vec_id", "w")
-    right = known.select(F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"), F.pmod(F.xxhash64("vec_id", "w"), F.lit(c_blocks)).cast("int").alias("cb"), "vec_id", "w")
-
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("query_id", "vec_id", "score")})
-        q, c, s = accumulate(a.vec_id.to_numpy(), a.w.tolist(), b.vec_id.to_numpy(), b.w.tolist(), top)
-        return pd.DataFrame({"query_id": q, "vec_id": c, "score": s})
-
-    found = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(meet, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    parts = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(q_blocks * c_blocks, 20_000))
+    block = lambda blocks: F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")
+    every_block = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = queries.select(F.lit(0).alias("side"), block(q_blocks).alias("qb"), every_block(c_blocks).alias("cb"), "row", "vec_id", "w")
+    right = known.select(F.lit(1).alias("side"), every_block(q_blocks).alias("qb"), block(c_blocks).alias("cb"), "row", "vec_id", "w")
+    # a fixed number of partitions: the work of a block pair is far more than its bytes say
+    dealt = left.unionByName(right).repartition(parts, "qb", "cb").sortWithinPartitions("qb", "cb", "side", "row")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each run of equal (qb, cb) is a query block and then a candidate block."""
+        for _, held in groupby(_rows(batches), key=lambda r: r[:2]):
+            sides: tuple[list, list] = ([], [])
+            for _, _, side, row, vec_id, w in held:
+                sides[side].append((row, vec_id, w))
+            if not sides[0] or not sides[1]:
+                continue
+            (rows, ids, w), (other, names, v) = (zip(*x) for x in sides)
+            at, found, score = accumulate(np.array(rows), list(w), np.array(other), np.array(names), list(v), top)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(rows)[at]), pa.array(np.array(ids)[at]), pa.array(found), pa.array(score)], ["row", "query_id", "vec_id", "score"])
+
+    found = dealt.select("qb", "cb", "side", "row", F.col("vec_id").cast("long").alias("vec_id"), "w").mapInArrow(meet, "row long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
