@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from vellumry import ship
 from vellumry.llm import packing, quality, secrets, simhash
 from vellumry.llm.common import stash
-from vellumry.llm.queries import WORD_BPE
+from vellumry.llm.queries import PIECES, WORD_BPE
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret in a text is replaced by its kind in brackets; no document goes."""
     ship(spark)
-    return secrets.redact(docs)
+    return secrets.redact(docs, PIECES)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

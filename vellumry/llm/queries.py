@@ -48,7 +48,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(_documents(spark, sf_dir))
+    return secrets.scan(_documents(spark, sf_dir), PIECES)
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
