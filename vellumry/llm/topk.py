@@ -25,7 +25,7 @@ SCALE = 64
 QUERY_BLOCK = 8192
 CANDIDATE_BLOCK = 4096
 #: Queries whose dense score arrays are held at once.
-ARRAYS = 32
+ARRAYS = 8
 #: Scores are held within this range, which leaves a mark for a query's own row.
 MOST = 2 ** 63 - 1
 
@@ -59,25 +59,28 @@ def accumulate(query_rows: np.ndarray, queries: list, rows: np.ndarray, ids: np.
     c, q = _matrix([candidates[i] for i in order]), _matrix(queries)
     terms = min(c.shape[1], q.shape[1])
     bound = float(np.abs(c.astype(float)).max(initial=0)) * float(np.abs(q.astype(float)).max(initial=0)) * max(terms, 1)
-    kind = np.float64 if bound < 2 ** 53 else object  # exact either way; whole doubles are the fast one
+    kind = np.float32 if bound < 2 ** 24 else np.float64 if bound < 2 ** 53 else object  # exact each: sums are whole numbers
     postings = []
     for t in range(terms):
         where = np.flatnonzero(c[:, t])
-        if len(where):
-            postings.append((t, slice(None) if len(where) == len(ids) else where, c[where, t].astype(kind)))
+        if 2 * len(where) > len(ids):  # a long list is scattered in order, zeros and all
+            postings.append((t, None, c[:, t].astype(kind)))
+        elif len(where):
+            postings.append((t, where, c[where, t].astype(kind)))
     place = {int(r): n for n, r in enumerate(rows)}
     out: tuple[list, list, list] = ([], [], [])
+    room = np.empty((ARRAYS, len(ids)), kind)
     for q0 in range(0, len(query_rows), ARRAYS):
         part = q[q0:q0 + ARRAYS].astype(kind)
-        scores = np.zeros((len(part), len(ids)), kind)
+        scores, spare = np.zeros((len(part), len(ids)), kind), room[:len(part)]
         for t, where, values in postings:
             using = np.flatnonzero(part[:, t])
-            if len(using) == len(part) and isinstance(where, slice):
-                scores += part[:, t, None] * values
+            if where is None and 2 * len(using) > len(part):
+                scores += np.multiply(part[:, t, None], values, out=spare)
             elif len(using):
-                at = (using, where) if isinstance(where, slice) else np.ix_(using, where)
+                at = (using, slice(None)) if where is None else np.ix_(using, where)
                 scores[at] += part[using, t, None] * values
-        whole = np.clip(scores, -MOST, MOST).astype(np.int64)
+        whole = (np.clip(scores, -MOST, MOST) if kind is object else scores).astype(np.int64)
         for n, row in enumerate(query_rows[q0:q0 + ARRAYS].tolist()):
             own = place.get(row)
             if own is not None:
