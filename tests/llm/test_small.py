@@ -588,13 +588,43 @@ def test_mcd_finds_the_core(spark):
     """Against a plain numpy search: the estimate ignores 20 % of far rows."""
     rng = np.random.default_rng(11)
     x = np.vstack([rng.normal(size=(400, 5)), rng.normal(8, 1, size=(100, 5))])
-    df = spark.createDataFrame([("g", *map(float, r)) for r in x], "g string, " + ", ".join(f"{f} double" for f in quality.FEATURES))
+    df = spark.createDataFrame([("g", "en", *map(float, r)) for r in x], "g string, lang string, " + ", ".join(f"{f} double" for f in quality.FEATURES))
     e = quality.estimates(df).first()
     assert all(abs(e[f"m{i}"]) < 0.35 for i in range(5))
     far = df.join(quality.estimates(df), "g").select(quality._distance().alias("d")).toPandas().d
     assert (far.sort_values().iloc[-100:] > 60).all()
 
 
+def test_mcd_of_small_groups_leans_on_the_language(spark):
+    """Every group has an estimate: one row, a few rows, and a group that is null."""
+    rng = np.random.default_rng(12)
+    rows_ = [("big", "en", *r) for r in rng.normal(size=(300, 5)).tolist()] + [("one", "en", 0.5, 0, 0, 0, 0)] + [("few", "en", *r) for r in rng.normal(size=(6, 5)).tolist()]
+    rows_ += [("few", "en", 9.0, 9, 9, 9, 9), ("null", None, 0.1, 0, 0, 0, 0)]
+    df = spark.createDataFrame([(g, k, *map(float, r)) for g, k, *r in rows_], "g string, lang string, " + ", ".join(f"{f} double" for f in quality.FEATURES))
+    found = quality.estimates(df)
+    assert sorted(r.g for r in found.collect()) == ["big", "few", "null", "one"]
+    far = df.join(found, "g").withColumn("d", quality._distance()).collect()
+    assert [r.g for r in far if r.d > quality.BOUND] == ["few"] and max(r.d for r in far) > quality.BOUND
+
+
+def test_keep_good_judges_rows_not_ids(spark):
+    rng = random.Random(3)
+    fine = lambda: " ".join(rng.choices([f"{a}{b}" for a in "badofugrime" for b in ("lan", "mer", "nis", "tok")], k=80))
+    records = [(i % 7 if i < 60 else None, fine(), 1.5, "x") for i in range(70)] + [(1, "too short", 1.5, "x"), (None, "again and again " * 30, 1.5, "y"), (2, None, None, None)]
+    df = spark.createDataFrame(records, "doc_id long, text string, distance double, _row string")
+    kept = quality.keep_good(df)
+    assert kept.columns == df.columns and Counter(map(tuple, kept.collect())) == Counter(records[:70])
+    assert quality.keep_good(df.where("false")).count() == 0
+
+
+def test_quality_of_very_long_texts(spark):
+    rng = random.Random(4)
+    words = [f"{a}{b}" for a in "badofugrime" for b in ("lan", "mer", "nis", "tok")]
+    long = " ".join("".join(rng.choices(words, k=2)) for _ in range(200_000))
+    r = quality.judge(spark.createDataFrame([(1, long, "en", "s"), (2, "x" * 2_000_000, "en", "s")], "doc_id long, text string, lang string, source string")).orderBy("doc_id").collect()
+    assert (r[0].n_words, r[0].n_repeat_words) == (brute_counts(long)[0], brute_counts(long)[4]) and r[1].n_words == 1 and r[1].base_failed
+
+
 def test_chi2():
     assert abs(quality.chi2_quantile(0.95, 5) - 11.0705) < 1e-3 and abs(quality.chi2_cdf(6.6257, 5) - 0.75) < 1e-4
 

@@ -9,23 +9,30 @@ distance bin), so the nearest rows are whole bins and their moments are sums ove
 rows per group; no row is sorted or collected, and a group with a third of all rows costs no more
 than others.  The estimate with the smaller determinant wins, and rows whose squared distance
 passes the bound are rejected.
+
+Every group is estimated, however small: its moments are joined by PRIOR rows' worth of the mean
+moments of its language, and a language's by as many of all rows.  A group of thousands is left as it
+is, one of a few rows is judged much like its language, and there is no switch between.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stash
 
-#: Share of a group that the estimate rests on, number of concentration steps, bins per e-fold of
-#: squared distance, and the least group that gets an estimate.
+#: Share of a group that the estimate rests on (the usual choice between 0.5, which bears most
+#: outliers, and 1, which wastes no rows), and bins per e-fold of squared distance.
 ALPHA = 0.75
-STEPS = 5
 BINS = 48
-LEAST_GROUP = 40
+#: Steps go on until no log determinant moves by more than SETTLED, but no longer than MOST_STEPS.
+SETTLED, MOST_STEPS = 0.01, 12
+#: Rows of the wider group that a group's moments are joined by.
+PRIOR = 20
 #: Squared distances are compared with this quantile of the chi-squared distribution, times the
 #: tolerance for tails that are heavier than normal ones.
 QUANTILE = 0.999
@@ -65,19 +72,26 @@ CONSISTENCY = ALPHA / chi2_cdf(chi2_quantile(ALPHA, P), P + 2)
 BOUND = chi2_quantile(QUANTILE, P) * TAILS
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the counts of every row of docs.
+def _text_of(docs: DataFrame, name: str) -> Column:
+    """A column as a string; null where docs has no such column."""
+    return (F.col(name).cast("string") if name in docs.columns else F.lit(None).cast("string")).alias(name)
+
+
+def statistics(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id, lang, source and the counts of every row of docs; `_row`, the row as it is, if asked for.
 
     n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words as the base rules define them,
-    n_lines the lines with a word.  Null texts count as empty.  Repeated 5-word windows are found by
-    a hash of each window; only texts where a hash repeats sort the windows themselves, so the
-    counts are exact.
+    n_lines the lines with a word.  Null texts count as empty; lang and source are null where docs
+    has no such columns.  Repeated 5-word windows are found by a hash of each window; only texts
+    where a hash repeats sort the windows themselves, so the counts are exact.
     """
+    rest = ["_row"] if carry else []
     text = F.coalesce("text", F.lit(""))
-    d = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), text.alias("text"), F.btrim(text, F.lit(SPACES)).alias("_body"))
+    whole = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")] if carry else []
+    d = docs.select(F.col("doc_id"), _text_of(docs, "lang"), _text_of(docs, "source"), text.alias("text"), F.btrim(text, F.lit(SPACES)).alias("_body"), *whole)
     d = d.withColumn("_words", F.split("_body", "[ \\t-\\r]+"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))
-    d = d.select("doc_id", "lang", "source", "_words",
+    d = d.select("doc_id", "lang", "source", "_words", *rest,
                  F.when(F.col("_body") == "", 0).otherwise(F.size("_words")).cast("long").alias("n_words"),
                  F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
                  F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -95,7 +109,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     return d.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols",
                     (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
                     repeat.alias("n_repeat_words"), F.size("_lines").cast("long").alias("n_lines"),
-                    F.coalesce(F.size(F.array_distinct("_words")), F.lit(0)).cast("long").alias("n_distinct"))
+                    F.coalesce(F.size(F.array_distinct("_words")), F.lit(0)).cast("long").alias("n_distinct"), *rest)
 
 
 def features(stats: DataFrame) -> DataFrame:
@@ -114,6 +128,7 @@ def _moments(prefix: str = "") -> list[Column]:
     return out + [F.sum(x[i] * x[j]).alias(f"q{i}{j}") for i in range(P) for j in range(i + 1)]
 
 
+ESTIMATE = [*(f"m{i}" for i in range(P)), *(f"w{i}{j}" for i in range(P) for j in range(i + 1)), "logdet"]
 MOMENTS = ["n", *(f"s{i}" for i in range(P)), *(f"q{i}{j}" for i in range(P) for j in range(i + 1))]
 
 
@@ -151,52 +166,89 @@ def _nearest(binned: DataFrame, keys: list[str]) -> DataFrame:
     return below.where(F.col("_before") < F.ceil(F.col("_all") * ALPHA)).groupBy(*keys).agg(*(F.sum(c).alias(c) for c in MOMENTS))
 
 
+def _shrunk(sums: DataFrame) -> DataFrame:
+    """Moments of each (g, lang, start) joined by those of its language and of all rows."""
+    def mean_of(rows: DataFrame, keys: list[str]) -> DataFrame:
+        return rows.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in MOMENTS))
+
+    def joined(near: DataFrame, wide: DataFrame, keys: list[str]) -> DataFrame:
+        """near with PRIOR rows' worth of the mean moments of wide, which has the same start."""
+        mean = wide.select(*(F.col(k).alias(f"_{k}") for k in keys), *((F.col(c) / F.col("n") * PRIOR).alias(f"_{c}") for c in MOMENTS))
+        same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+        return near.join(mean, same).select(*(c for c in near.columns if c not in MOMENTS), *((F.col(c) + F.col(f"_{c}")).alias(c) for c in MOMENTS))
+
+    per_lang = mean_of(sums, ["start", "lang"])
+    return joined(sums, joined(per_lang, mean_of(per_lang, ["start"]), ["start"]), ["start", "lang"])
+
+
 def estimates(rows: DataFrame) -> DataFrame:
-    """The estimate of each group g with at least LEAST_GROUP rows: m, w and logdet."""
-    sums = stash(rows.groupBy("g").agg(*_moments()).where(F.col("n") >= LEAST_GROUP), "mcd-sums")
-    classical = _estimates(sums, ["g"], 1.0)
+    """The estimate of each group g, lang: m, w and logdet.
+
+    The steps end when all log determinants have settled.  Each start keeps its estimate of least
+    determinant, and the start with the smaller one wins (the first of equals).
+    """
+    keys = ["g", "lang", "start"]
+    sums = stash(_shrunk(stash(rows.groupBy("g", "lang").agg(*_moments()).withColumn("start", F.lit(0)), "mcd-moments")), "mcd-sums")
+    classical = _estimates(sums, keys, 1.0)
     # spatial signs: directions from the mean after scaling, each of length one
     scales = [(F.col(f"q{i}{i}") / F.col("n") - (F.col(f"s{i}") / F.col("n")) ** 2 + FLOORS[i] ** 2) for i in range(P)]
-    centred = rows.join(sums.select("g", "n", *((F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(P)), *(F.sqrt(v).alias(f"d{i}") for i, v in enumerate(scales))), "g")
+    centres = sums.select("g", "n", *((F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(P)), *(F.sqrt(v).alias(f"d{i}") for i, v in enumerate(scales)))
+    centred = rows.join(centres, "g")
     z = [(F.col(f) - F.col(f"m{i}")) / F.col(f"d{i}") for i, f in enumerate(FEATURES)]
     norm = F.greatest(sum((x * x for x in z), F.lit(0.0)), F.lit(1e-9))
-    signs = centred.groupBy("g").agg(*(F.first(f"m{i}").alias(f"m{i}") for i in range(P)),
-                                     *(F.avg(z[i] * z[j] / norm * P * F.col(f"d{i}") * F.col(f"d{j}")).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)))
-    signs = signs.select("g", *(f"m{i}" for i in range(P)), *((F.col(f"c{i}{j}") + (FLOORS[i] ** 2 if i == j else 0)).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)))
-    now = stash(classical.withColumn("start", F.lit(0)).unionByName(_factored(signs, ["g"]).withColumn("start", F.lit(1))), "mcd")
-    for _ in range(STEPS):
-        near = rows.join(now, "g").withColumn("bin", F.floor(F.log(_distance() + 1e-6) * BINS))
-        binned = near.groupBy("g", "start", "bin").agg(*_moments())
-        now = stash(_estimates(_nearest(binned, ["g", "start"]), ["g", "start"], CONSISTENCY), "mcd")
+    # the prior's rows count as having the classical spread
+    share = F.count("*") / F.first("n")
+    signs = centred.groupBy("g", "lang").agg(*(F.first(f"m{i}").alias(f"m{i}") for i in range(P)),
+                                             *((share * F.avg(z[i] * z[j] / norm * P * F.col(f"d{i}") * F.col(f"d{j}")) + (1 - share) * (F.first(F.col(f"d{i}") ** 2) if i == j else F.lit(0.0))).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)))
+    signs = signs.select("g", "lang", F.lit(1).alias("start"), *(f"m{i}" for i in range(P)), *((F.col(f"c{i}{j}") + (FLOORS[i] ** 2 if i == j else 0)).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)))
+    now = stash(classical.unionByName(_factored(signs, keys)), "mcd")
+    best = None
+    for _ in range(MOST_STEPS):
+        near = rows.join(now.drop("lang"), "g").withColumn("bin", F.floor(F.log(_distance() + 1e-6) * BINS))
+        binned = near.groupBy(*keys, "bin").agg(*_moments())
+        new = _estimates(stash(_shrunk(_nearest(binned, keys)), "mcd-moments"), keys, CONSISTENCY)
+        if best is None:
+            now = best = stash(new, "mcd")
+            continue
+        before = best.select("g", "start", *(F.col(c).alias(f"_{c}") for c in ESTIMATE))
+        now = stash(new.join(before, ["g", "start"]), "mcd")
+        moved = now.agg(F.max(F.col("_logdet") - F.col("logdet"))).first()[0]
+        better = F.col("logdet") < F.col("_logdet")  # a step over whole bins may also raise it a little
+        best = now.select(*keys, *(F.when(better, F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in ESTIMATE))
+        now = now.select(*keys, *ESTIMATE)
+        if moved is None or moved < SETTLED:
+            break
     first = Window.partitionBy("g").orderBy("logdet", "start")
-    return now.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r", "start")
+    return best.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r", "start", "lang")
+
+
+def _judged(docs: DataFrame, carry: bool) -> DataFrame:
+    """statistics() with base_failed, distance and kept."""
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    group = F.to_json(F.struct("lang", "source"))
+    rows = stash(features(statistics(docs, carry)).withColumn("base_failed", failed).withColumn("g", group), "quality")
+    found = stash(estimates(rows.where("not base_failed").select("g", "lang", *FEATURES)), "mcd-best")
+    far = rows.join(found, "g", "left").withColumn("distance", _distance())
+    return far.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= BOUND, F.lit(True)))
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and
-    distance (null without an estimate) for every row of docs.
+    distance for every row of docs.
 
     Null and empty texts have no words and fail the base rules.  Null languages and sources are
-    groups of their own.  Documents of groups below LEAST_GROUP are judged by the base rules alone.
-    Only rows that pass the base rules enter the estimates.  Rows that repeat stay repeated.
+    groups of their own, as is all where docs has no such columns.  Only rows that pass the base
+    rules enter the estimates; the distance is null in groups without any.  A text of any length is
+    counted whole, in the memory of one row.  Rows that repeat stay repeated and rows without a
+    doc_id are judged like any other; an empty table gives no rows; further columns are not read.
     """
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    group = F.to_json(F.struct("lang", "source"))
-    rows = stash(features(statistics(docs)).withColumn("base_failed", failed).withColumn("g", group), "quality")
-    found = stash(estimates(rows.where("not base_failed").select("g", *FEATURES)), "mcd-best")
-    far = rows.join(found, "g", "left").withColumn("distance", _distance())
-    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= BOUND, F.lit(True))
-    return far.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
+    return _judged(docs, False).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that judge() keeps, with their columns.  Rows with a null doc_id cannot be
-    matched with their verdict and are judged in place by the base rules."""
-    good = judge(docs.where("doc_id is not null")).where("kept").select("doc_id")
-    named = docs.join(good, "doc_id", "left_semi").select(*docs.columns)
-    rest = docs.where("doc_id is null")
-    if rest.isEmpty():
-        return named
-    counts = statistics(rest.withColumn("doc_id", F.struct(*rest.columns)))
-    passed = counts.where("not (n_words < 10 or 100 * n_repeat_words > 20 * n_words)")
-    return named.unionByName(passed.select("doc_id.*").select(*docs.columns))
+    """The rows of docs that judge() keeps, with their columns.
+
+    Each row is judged by itself and carried along with its counts, so repeated ids and rows without
+    an id need no matching, and no text is shuffled.
+    """
+    return _judged(docs, True).where("kept").select("_row.*")
