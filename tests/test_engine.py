@@ -1,6 +1,7 @@
 """Plans over Spark: conversions with errors as data, streams, sinks, and every oracle."""
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -66,9 +67,19 @@ def test_multi_sheet_csv(spark):
     assert got == {"w-A.csv": b"\xef\xbb\xbfx,1\r\n", "w-B.csv": b"\xef\xbb\xbfy\r\n"}
 
 
-def test_refusals_come_before_parsing(rows):
-    plan = convert.convert(rows, "pdf")._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.index("MapInArrow") < plan.index("Filter")  # the reader sees filtered rows only
+def test_conversion_reads_the_bytes_once(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("x")
+    for target in ("docx", "txt", "html", "csv", "json"):
+        plan = convert.convert(files.scan(spark, str(tmp_path)), target)._jdf.queryExecution().optimizedPlan().toString()
+        scans = [line for line in plan.splitlines() if re.search("Relation.*binaryFile|Relation \\[", line)]
+        assert plan.count("MapInArrow") == 1 and len(scans) <= 2, plan  # the second scan lists files over the cap, without content
+
+
+def test_refusals_are_the_same_in_columns_and_in_python(spark):
+    cases = [(s, t, n, d) for s in ("ole", "pdf", "txt", "png", "xyz", "") for t in ("pdf", "json", "docx", "png") for n in (0, 5) for d in ("doc", "txt")]
+    df = spark.createDataFrame(cases, "s string, t string, n int, d string")
+    got = df.select("*", matrix.refusal(F.col("s"), F.col("t"), F.col("n"), F.col("d")).alias("why")).collect()
+    assert [r.why for r in got] == [matrix.why_refused(r.s, r.t, r.n, r.d) for r in got]
 
 
 def test_scan_stream_and_sink(spark, tmp_path):
@@ -77,7 +88,10 @@ def test_scan_stream_and_sink(spark, tmp_path):
     for i in range(3):
         (src / f"f{i}.txt").write_text(f"text {i}")
     (src / "big.bin").write_bytes(b"x" * 100)
-    assert files.scan(spark, str(src), "*.txt").count() == 3 and files.scan(spark, str(src), most_bytes=50).count() == 3
+    capped = {r.name: (r.content is None, r.error) for r in files.scan(spark, str(src), most_bytes=50).collect()}
+    assert files.scan(spark, str(src), "*.txt").count() == 3 and len(capped) == 4 and capped["f0.txt"] == (False, None)
+    assert capped["big.bin"] == (True, "The file has 100 bytes; at most 50 are read.")
+    assert convert.convert(files.scan(spark, str(src), most_bytes=50), "pdf").where("name is null").first().error.startswith("The file has 100 bytes")
     done = convert.convert(files.scan(spark, str(src), "*.txt").drop("length"), "docx")
     files.write_outputs(done, str(out))
     assert sorted(os.listdir(out)) == ["f0.docx", "f1.docx", "f2.docx"]
@@ -137,6 +151,6 @@ def test_pages_and_texts_of_every_kind_are_taken(spark, tmp_path):
     texts = [(1, None), (2, "naïve Ærø straße, x"), (3, "日本 text عربى a\n\nb"), (4, ""), (5, "plain 😀 words")]
     spark.createDataFrame([p[:2] for p in pages], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert {tuple(r) for r in catalogue.QUERIES["html_to_text_all"](spark, str(tmp_path)).select("page_id", "text").collect()} == {(i, t) for i, _, t in pages}
+    assert {tuple(r) for r in catalogue.QUERIES["html_to_text"](spark, str(tmp_path)).select("page_id", "text").collect()} == {(i, t) for i, _, t in pages}
     want = {(str(i), sum(c.isascii() and c.isalpha() for c in t) if t else None) for i, t in texts}
-    assert {tuple(r) for r in catalogue.QUERIES["pdf_roundtrip_all"](spark, str(tmp_path)).select("doc_id", "letters").collect()} == want
+    assert {tuple(r) for r in catalogue.QUERIES["pdf_roundtrip"](spark, str(tmp_path)).select("doc_id", "letters").collect()} == want

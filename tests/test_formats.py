@@ -60,7 +60,7 @@ def test_content_beats_extension():
     assert sniff(b"x" * 1000 + b"%PDF-", "txt") == "pdf" and sniff(b"PK\x03\x04broken", "txt") == "txt" and sniff(b"plain", "csv") == "csv"
 
 
-@pytest.mark.parametrize("data,name,target,words", [(b"\xd0\xcf\x11\xe0ab", "a.doc", "txt", "old binary"), (b"%PDF-1.4\n%%EOF", "a.pdf", "txt", "damaged"), (b"x", "a.txt", "xlsx", "TXT to XLSX"),
+@pytest.mark.parametrize("data,name,target,words", [(b"\xd0\xcf\x11\xe0ab", "a.doc", "txt", "Old binary DOC"), (b"%PDF-1.4\n%%EOF", "a.pdf", "txt", "damaged"), (b"x", "a.txt", "xlsx", "TXT to XLSX"),
                                                     (b"", "a.txt", "pdf", "empty"), (b"x", "a.zzz", "pdf", "not supported"), (b"plain", "a.docx", "txt", "ZIP")])
 def test_errors(data, name, target, words):
     with pytest.raises(ValueError, match=words):
@@ -119,6 +119,9 @@ def test_xlsx_cells():
 def test_xlsx_guards():
     far = '<row r="1"><c r="A1"><v>1</v></c></row><row r="200"><c r="A200"><v>2</v></c></row><row r="201"/>'
     (_, rows), = xlsx.read_sheets(book([far]))
+    rows_at = lambda *numbers: "".join(f'<row r="{n}"><c r="A{n}"><v>{n}</v></c></row>' for n in numbers)
+    (_, gaps), = xlsx.read_sheets(book([rows_at(1, 1000, 1001, 1002)]))
+    assert len(gaps) == 54 and [r[0] for r in gaps if r[0]] == ["1", "1000", "1001", "1002"]
     assert len(rows) == 1 + limits.BLANK_ROWS + 1
     cell = '<row r="1"><c r="A1" s="1"><v>0</v></c></row>'
     styles = '<styleSheet><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>'
@@ -149,7 +152,7 @@ def test_docx_paragraphs():
     numbers = '<w:abstractNum w:abstractNumId="7"><w:lvl w:ilvl="0"><w:start w:val="3"/><w:numFmt w:val="decimal"/></w:lvl><w:lvl w:ilvl="1"><w:numFmt w:val="lowerRoman"/></w:lvl><w:lvl w:ilvl="2"><w:numFmt w:val="bullet"/></w:lvl></w:abstractNum><w:num w:numId="1"><w:abstractNumId w:val="7"/></w:num>'
     styles = '<w:style w:styleId="H"><w:name w:val="heading 2"/></w:style><w:style w:styleId="O"><w:name w:val="own"/><w:pPr><w:outlineLvl w:val="5"/></w:pPr></w:style>'
     body = (p("Head", '<w:pStyle w:val="H"/>') + p("Out", '<w:pStyle w:val="O"/>') + item("a", 0) + item("b", 1) + item("c", 1) + item("d", 0) + item("e", 1) + item("f", 2)
-            + '<w:p><w:r><w:rPr><w:b/></w:rPr><w:t>bo</w:t><w:tab/><w:br/><w:noBreakHyphen/></w:r><w:del><w:r><w:t>gone</w:t></w:r></w:del><w:r><w:rPr><w:b w:val="0"/></w:rPr><w:t> </w:t></w:r></w:p>'
+            + '<w:p><w:r><w:rPr><w:b/></w:rPr><w:t>bo</w:t><w:tab/><w:br/><w:noBreakHyphen/></w:r><w:del><w:r><w:delText>gone</w:delText></w:r></w:del><w:r><w:rPr><w:b w:val="0"/></w:rPr><w:t> </w:t></w:r></w:p>'
             + '<w:p><w:r><w:t>x</w:t><w:br w:type="page"/><w:t>y</w:t></w:r></w:p>' + p("next") + p("own page", "<w:pageBreakBefore/>") + '<w:sectPr><w:pgSz w:w="10000" w:h="20000"/></w:sectPr>')
     pages = docx.read(word(body, styles, numbers))
     first = [(b["type"], b.get("level"), b["text"]) for b in pages[0]["blocks"]]
@@ -167,6 +170,9 @@ def test_docx_tables_boxes_and_errors():
     box = '<w:p><w:r><w:t>with</w:t><mc:AlternateContent><mc:Choice><w:txbxContent><w:p><w:r><w:t>boxed</w:t></w:r></w:p></w:txbxContent></mc:Choice><mc:Fallback><w:t>no</w:t></mc:Fallback></mc:AlternateContent></w:r></w:p>'
     blocks = docx.read(word(table + box))[0]["blocks"]
     assert blocks[0]["rows"] == [["wide", "", "c"], ["d", "i | j", ""]] and [b["text"] for b in blocks[1:]] == ["with", "boxed"]
+    outline = '<w:p><w:pPr><w:pStyle w:val="H"/><w:outlineLvl w:val="2"/></w:pPr><w:r><w:t xml:space="preserve"> Head </w:t></w:r></w:p><w:p><w:pPr><w:outlineLvl w:val="2"/></w:pPr><w:r><w:t>own</w:t></w:r></w:p>'
+    heads = docx.read(word(outline + f'<w:tbl><w:tr>{cell(" padded ")}</w:tr></w:tbl>', '<w:style w:styleId="H"><w:name w:val="heading 1"/></w:style>'))[0]["blocks"]
+    assert [(b.get("level"), b.get("text")) for b in heads[:2]] == [(1, "Head"), (3, "own")] and heads[2]["rows"] == [["padded"]]
     with pytest.raises(zipio.PackageError, match="body"):
         docx.read(package({"word/document.xml": "<x/>"}))
     with pytest.raises(zipio.PackageError, match="missing"):
@@ -200,7 +206,12 @@ def test_pptx_flow_budget_tables_and_headings():
     slides = pptx.flow([{"blocks": blocks}])
     assert slides[0]["title"] == "B" and len(slides[0]["texts"]) == 12 and len(slides[1]["texts"]) == 2
     assert [len(s["rows"]) for s in slides if s["rows"] is not None] == [12, 12, 6]
+    assert [s["title"] for s in slides] == ["B"] * 5
     assert [s["title"] for s in pptx.flow([{"blocks": blocks[:2]}], keep_consecutive=True)] == ["A", "B"]
+    untitled = [{"name": "Page name", "blocks": [model.paragraph("x")]}, {"blocks": [model.paragraph("y")]}, {"blocks": []}]
+    assert [s["title"] for s in pptx.flow(untitled, "Document")] == ["Page name", "Document", "Document"]
+    back = pptx.read(pptx.write([{"name": None, "width": None, "height": None, "blocks": [model.heading("H"), model.paragraph("a\nb"), model.table([["1", "2"]])]}], "t", "2000-01-01T00:00:00Z"))
+    assert [[b.get("text") or b["rows"] for b in p["blocks"]] for p in back] == [["H", "a\nb"], ["H", [["1", "2"]]]]
 
 
 # ------------------------------------------------------------------ PDF
@@ -466,7 +477,24 @@ def test_layout_errors_and_body_size():
 
 def test_soft_hyphen_and_cjk_joining():
     lines = layout.build_lines([run("soft­", 0, 10), run("ened", 0, 22), run("漢字", 0, 34), run("続き", 0, 46)])
-    assert layout._joined(lines[:2]) == "softened" and layout._joined(lines[2:]) == "漢字続き"
+    texts = [line.text for line in lines]
+    assert layout.joined(texts[:2]) == "softened" and layout.joined(texts[2:]) == "漢字続き"
+    assert layout.joined(["page 2-", "up"]) == "page 2-up" and layout.joined(["a-", "Ünder"]) == "a- Ünder"
+
+
+def test_layout_short_lines_are_measured_against_text_lines_only():
+    prose = [run(f"{'word ' * 8}{i}", 50, 40 + 12 * i, width=150) for i in range(3)]
+    table = [run(t, x, 120 + 14 * i) for i in range(3) for t, x in (("Name", 50), ("Qty", 250), ("Price", 420))]
+    blocks = layout.layout([{"width": 600, "height": 400, "runs": prose + table}])[0]["blocks"]
+    assert [b["type"] for b in blocks] == ["paragraph", "table"] and len(blocks[0]["lines"]) == 3
+
+
+def test_layout_columns_join_by_the_largest_size_and_lone_lines_keep_their_cells():
+    rows = [[("aa", 50, 10.0, 20), ("bb", 71.5, 10.0, 20), ("cc", 150, 10.0, 20)], [("dd", 50, 20.0, 20), ("ee", 150, 10.0, 20)]]
+    assert len(layout.column_intervals([(50, 70), (71.5, 91.5)], 0.2 * 20)) == 1 and len(layout.column_intervals([(50, 70), (71.5, 91.5)], 0.2 * 5)) == 2
+    lone = layout.layout([{"width": 400, "height": 100, "runs": [run("left", 50, 20), run("right", 200, 20)]}])[0]["blocks"]
+    assert [(b["type"], b["text"], b["cells"]) for b in lone] == [("paragraph", "left\tright", ["left", "right"])]
+    assert rows
 
 
 def test_png_encoder_reads_back(spark, tmp_path):
@@ -475,7 +503,10 @@ def test_png_encoder_reads_back(spark, tmp_path):
     rng = np.random.default_rng(3)
     pixels = rng.integers(0, 256, (5, 7, 3), dtype=np.uint8)
     (tmp_path / "a.png").write_bytes(encode_png(pixels))
-    rows = files.image_rows(spark, str(tmp_path))
+    (tmp_path / "b.png").write_bytes(b"no image")
+    every = files.image_rows(spark, str(tmp_path))
+    assert ["cannot" in (r.error or "") or "can be decoded" in (r.error or "") for r in images.convert(every).orderBy("origin").collect()] == [False, True]
+    rows = every.where("error is null")
     r = rows.first()
     assert np.array_equal(images.from_bgr(r.data, r.height, r.width, r.nChannels), pixels)
     assert images.convert(rows).first().data == encode_png(pixels) and "encoder" in images.convert(rows, "webp").first().error

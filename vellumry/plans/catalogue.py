@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -65,7 +66,7 @@ def txt_pages(spark, sf_dir):
 def sniff_format(spark, sf_dir):
     """First bytes set by row, declared formats in several spellings."""
     k = F.col("page_id") % 6
-    body = F.encode(F.substring("html", 1, 200), "UTF-8")
+    body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     magic = F.when(k == 0, F.lit(b"\n%PDF-1.4")).when(k == 1, F.lit(b"\xd0\xcf\x11\xe0")).when(k == 2, F.lit(b"PK\x03\x04")).otherwise(F.lit(b""))
     declared = F.when(k == 4, F.lit(".JPG")).when(k == 5, F.lit("Text")).otherwise(F.lit("htm"))
     return _table(spark, sf_dir, "pages").select("page_id", C.sniff_magic(F.concat(magic, body), C.normalize_format(declared)).alias("format"))
@@ -125,21 +126,26 @@ def csv_roundtrip(spark, sf_dir):
     return rows.select("conv_id", F.get("r", F.lit(0)).cast("long").alias("turn"), F.get("r", F.lit(1)).alias("role"), F.get("r", F.lit(2)).alias("text"))
 
 
-@query("""SELECT n_nationkey AS id, unnest(['n_nationkey', 'n_name', 'n_regionkey']) AS header, unnest([n_nationkey::VARCHAR, n_name, n_regionkey::VARCHAR]) AS value FROM nation""")
+@query("""SELECT n_regionkey::VARCHAR AS region, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) - 1)::INTEGER AS record_no, n_name AS name, n_nationkey::VARCHAR AS key FROM nation""")
 def records_json(spark, sf_dir):
-    """Rows as records keyed by a header."""
-    n = _table(spark, sf_dir, "nation")
-    record = F.map_from_arrays(F.array(*(F.lit(c) for c in n.columns)), F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in n.columns)))
-    return n.select(F.col("n_nationkey").alias("id"), F.explode(record).alias("header", "value"))
+    """Tables written as JSON files: records keyed by the header."""
+    files = _written(_nations(spark, sf_dir), "json")
+    records = F.from_json(F.col("content").cast("string"), "array<struct<name string, key string>>")
+    return files.select(F.col("doc_id").alias("region"), F.posexplode(records).alias("record_no", "r")).select("region", "record_no", "r.name", "r.key")
 
 
-@query("""SELECT p_partkey AS col_no, CASE WHEN k = 1 THEN p_brand ELSE p_brand || '_' || k END AS header
-          FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part)""")
+@query("""SELECT n_regionkey::VARCHAR AS region, chr(65279) || 'name,key' || chr(13) || chr(10) || string_agg(n_name || ',' || n_nationkey || chr(13) || chr(10), '' ORDER BY n_name) AS csv FROM nation GROUP BY 1""")
+def csv_files(spark, sf_dir):
+    """Tables written as CSV files, byte for byte."""
+    return _written(_nations(spark, sf_dir), "csv").select(F.col("doc_id").alias("region"), F.col("content").cast("string").alias("csv"))
+
+
+@query("""SELECT p_size AS t, p_partkey AS col_no, CASE WHEN k = 1 THEN p_brand ELSE p_brand || '_' || k END AS header
+          FROM (SELECT p_size, p_partkey, p_brand, row_number() OVER (PARTITION BY p_size, p_brand ORDER BY p_partkey) AS k FROM part)""")
 def header_dedupe(spark, sf_dir):
-    p = _table(spark, sf_dir, "part").select(F.lit(1).alias("t"), F.col("p_partkey").alias("col_no"), F.col("p_brand").alias("name"))
-    w = Window.partitionBy("name").orderBy("col_no")  # brands are many, so no single header row is gathered
-    n = F.row_number().over(w)
-    return p.select("col_no", F.when(n == 1, F.col("name")).otherwise(F.concat("name", F.lit("_"), n.cast("string"))).alias("header"))
+    """Header cells of one table for each size, names told apart."""
+    p = _table(spark, sf_dir, "part").select(F.col("p_size").alias("t"), F.col("p_partkey").alias("col_no"), F.col("p_brand").alias("name"))
+    return relational.duplicate_numbers(p, "t", "col_no", "name").select("t", "col_no", "header")
 
 
 @query("""WITH k AS (SELECT o_orderkey, [('o_orderkey', 0), ('status', 1), ('price', 2)] || CASE WHEN o_orderpriority LIKE '1%' THEN [('priority', 3)] ELSE [] END
@@ -179,13 +185,6 @@ def txt_json(spark, sf_dir):
 _UNREF = "replace(replace(replace(replace({0}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')"
 
 
-@query(f"""SELECT page_id, regexp_replace({_UNREF.format("regexp_replace(regexp_replace(regexp_extract(html, '(?s)<body[^>]*>(.*)$', 1), '(?s)<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g')")}, '^{{SP}}+|{{SP}}+$', '', 'g') AS text
-           FROM pages WHERE NOT regexp_matches(html, '&(amp|am|a|quo|qu|q)[^;a-z]')""".replace("{{SP}}", "{SP}"))
-def html_to_text(spark, sf_dir):
-    """Text content of pages without cut-off character references; html_to_text_all reads all."""
-    return _page_texts(_table(spark, sf_dir, "pages").where(~F.col("html").rlike("&(amp|am|a|quo|qu|q)[^;a-z]")))
-
-
 def _page_texts(pages: DataFrame) -> DataFrame:
     @F.pandas_udf("string")
     def read(pages: pd.Series) -> pd.Series:
@@ -198,7 +197,7 @@ _WHOLE_REF = "regexp_replace(html, '&(amp|quot)([^;a-z])', '&\\1;\\2', 'g')"
 
 
 @query(f"""SELECT page_id, coalesce(regexp_replace({_UNREF.format(f"regexp_replace(regexp_replace(regexp_extract({_WHOLE_REF}, '(?s)<body[^>]*>(.*)$', 1), '(?s)<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g')")}, '^{{SP}}+|{{SP}}+$', '', 'g'), '') AS text FROM pages""".replace("{{SP}}", "{SP}"))
-def html_to_text_all(spark, sf_dir):
+def html_to_text(spark, sf_dir):
     """Text content of every page: a reference cut before its semicolon is read, one cut in its name
     stays as text, and no page gives no text."""
     return _page_texts(_table(spark, sf_dir, "pages"))
@@ -386,10 +385,13 @@ def slide_chunks(spark, sf_dir):
 _PAIRS_SQL = "(VALUES " + ", ".join(f"('{s}', '{t}', '{e}')" for s, t, e in matrix.PAIRS) + ") m(source, target, engine)"
 
 
-@query(f"SELECT DISTINCT source, target FROM {_PAIRS_SQL} WHERE source != target")
+@query(f"""SELECT DISTINCT source, target FROM (SELECT source, target FROM {_PAIRS_SQL}
+           UNION ALL SELECT s, t FROM (VALUES {", ".join(f"('{s}')" for s in matrix.IMAGES)}) i(s), (VALUES {", ".join(f"('{t}')" for t in matrix.IMAGE_TARGETS)}) g(t)) WHERE source != target""")
 def catalogue_targets(spark, sf_dir):
+    """What is offered for each source."""
     m = matrix.matrix(spark)
-    return m.where(F.col("source") != F.col("target")).select("source", "target").distinct()
+    sources = sorted({s for s, _, _ in matrix.PAIRS} | set(matrix.IMAGES))
+    return reduce(DataFrame.unionByName, (matrix.targets(m, s).select(F.lit(s).alias("source"), "target") for s in sources))
 
 
 @query(f"SELECT source, target, engine FROM {_PAIRS_SQL} WHERE contains(source || ' to ' || target || ' ' || engine, 'to pdf')")
@@ -486,21 +488,16 @@ def docx_roundtrip(spark, sf_dir):
     return model.blocks(convert.read(convert.detect(files))).select("doc_id", "block_no", "type", "text")
 
 
-@query("""SELECT conv_id::VARCHAR AS doc_id, role AS title, count(*)::BIGINT AS slides FROM conversations GROUP BY ALL""")
+@query("""WITH r AS (SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS page_no, role, text FROM conversations)
+          SELECT conv_id::VARCHAR AS doc_id, page_no, 0 AS block_no, 'heading' AS type, role AS text FROM r UNION ALL SELECT conv_id::VARCHAR, page_no, 1, 'paragraph', text FROM r""")
 def pptx_roundtrip(spark, sf_dir):
-    """Conversations as presentations and back: titled slides by role."""
+    """Conversations as presentations and back: a slide per turn, titled by its role."""
     read = convert.read(convert.detect(_written(_talks(spark, sf_dir), "pptx")))
-    return model.blocks(read).where("type = 'heading'").groupBy("doc_id", F.col("text").alias("title")).agg(F.count("*").alias("slides"))
-
-
-@query("""SELECT doc_id::VARCHAR AS doc_id, length(regexp_replace(text, '[^A-Za-z]', '', 'g'))::BIGINT AS letters FROM documents WHERE length(text) = strlen(text)""")
-def pdf_roundtrip(spark, sf_dir):
-    """Plain-ASCII texts as PDF and back; pdf_roundtrip_all takes all."""
-    return _letters(_table(spark, sf_dir, "documents").where(F.length("text") == F.octet_length("text")))
+    return model.blocks(read).select("doc_id", "page_no", "block_no", "type", "text")
 
 
 @query("""SELECT doc_id::VARCHAR AS doc_id, CASE WHEN regexp_matches(text, '[^{SP}]') THEN length(regexp_replace(text, '[^A-Za-z]', '', 'g')) END::BIGINT AS letters FROM documents""".replace("[^{SP}]", "[^" + SP[1:]))
-def pdf_roundtrip_all(spark, sf_dir):
+def pdf_roundtrip(spark, sf_dir):
     """Every text as PDF and back: no letter is lost in layout and extraction.  Blank and null texts
     make a PDF without text, which the reader reports as an error: their count is null."""
     return _letters(_table(spark, sf_dir, "documents"))

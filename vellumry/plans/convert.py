@@ -1,8 +1,9 @@
 """Conversion of files: bytes to the document model, and the model to output files.
 
-A file is one row and one task's work; what can be said in Columns (formats, refusals, text and
-HTML rendering) is, and only containers and binary layouts run in Python over Arrow batches.
-Failures are values in `error`, so one bad file never fails a job.
+A file is one row and one task's work.  `convert` takes bytes to outputs in one scan and one Python
+stage over Arrow batches.  Where the model is wanted itself, `detect`, `read` and `emit` are its
+stages; what can be said in Columns there (formats, text and HTML rendering) is.  Failures are
+values in `error`, so one bad file never fails a job.
 """
 
 from __future__ import annotations
@@ -81,11 +82,11 @@ def write_outputs(pages: list[dict], title: str, source: str, target: str, stamp
     """Binary and tabular outputs of one document; TXT and HTML are rendered in Columns."""
     one = lambda data: [{"name": f"{title}.{target}", "type": MIME_TYPES[target], "data": data}]
     if target == "docx":
-        return one(docx.write(pages, title, stamp))
+        return one(docx.write(pages, title, stamp, source))
     if target == "xlsx":
         return one(xlsx.write(to_sheets(pages, source), title, stamp))
     if target == "pptx":
-        return one(pptx.write(pages, title, stamp, positioned=source == "pdf"))
+        return one(pptx.write(pages, title, stamp))
     if target == "pdf":
         return one(writer.write(pages, title, source))
     sheets = to_sheets(pages, source)
@@ -196,31 +197,43 @@ def emit(documents: DataFrame) -> DataFrame:
 
 
 def convert(files: DataFrame, target: str) -> DataFrame:
-    """doc_id, output_no, name, type, data, error: files (doc_id, name, declared, content) turned
-    into target.  What cannot be converted is refused before anything is parsed."""
+    """doc_id, output_no, name, type, data, error: files (doc_id, name, declared, content, and error
+    where the scan has one) turned into target.
+
+    One pass: a file's bytes are scanned once and go through one Python stage that detects, refuses,
+    reads and writes.  What cannot be converted is refused before it is parsed.
+    """
     ship(files.sparkSession)
-    to = C.normalize_format(F.lit(target))
-    found = detect(files).withColumn("target", to)
-    why = matrix.refusal(F.col("source"), F.col("target"), F.length("content"), F.col("declared"))
-    checked = found.withColumn("error", why)
-    refused = checked.where("error is not null").select(F.col("doc_id").cast("string"), F.lit(None).cast(ArrayType(OUTPUT)).alias("outputs"), "error")
-    sound = checked.where("error is null")
-    light = matrix.is_light(F.col("source"), F.col("target"))
-    documents = read(sound.where(~light)).withColumn("target", to)
-    done = emit(documents).unionByName(convert_light(sound.where(light))).unionByName(refused)
+    kind = ArrayType(OUTPUT)
+    to = normalize_format(target)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = pa.schema([("doc_id", pa.string()), ("outputs", _arrow(kind)), ("error", pa.string())])
+        for batch in batches:
+            for at in range(0, batch.num_rows, FILES):
+                rows = []
+                for doc_id, name, declared, data, error in zip(*(c.to_pylist() for c in batch.slice(at, FILES).columns)):
+                    made = None
+                    try:
+                        made = convert_bytes(data or b"", name or "", declared, to) if error is None else None
+                    except Exception as e:  # a file that cannot be converted is a row with an error
+                        error = str(e) or type(e).__name__
+                    rows.append({"doc_id": doc_id, "outputs": made, "error": error})
+                yield pa.RecordBatch.from_pylist(rows, types)
+
+    column = lambda c, usual: (F.col(c) if c in files.columns else usual).alias(c)
+    none = F.lit(None).cast("string")
+    schema = StructType([StructField("doc_id", StringType()), StructField("outputs", kind), StructField("error", StringType())])
+    done = files.select(F.col("doc_id").cast("string"), column("name", none), column("declared", none), "content", column("error", none)).mapInArrow(run, schema)
     return done.select("doc_id", F.posexplode_outer("outputs").alias("output_no", "o"), "error").select("doc_id", "output_no", "o.name", "o.type", "o.data", "error")
 
 
 def convert_bytes(data: bytes, name: str, source: str | None, target: str) -> list[dict]:
-    """One file in Python, without Spark: the same readers and writers, for tools and tests."""
+    """One file in Python: detected by content, refused or read, and written."""
     declared = normalize_format(source or (name.rsplit(".", 1)[-1] if "." in name else ""))
     kind, to = sniff(data, declared), normalize_format(target)
-    if kind == "ole":
-        raise ValueError("The file is an old binary or password-protected Office file and cannot be read.")
-    if kind == to or (kind, to) not in {(s, t) for s, t, _ in matrix.PAIRS}:
-        raise ValueError(f"{kind.upper()} to {to.upper()} is not supported.")
-    if not data:
-        raise ValueError("The file is empty.")
+    if why := matrix.why_refused(kind, to, len(data), declared):
+        raise ValueError(why)
     title = stem(name)
     if (kind, to) in matrix.LIGHT:
         return [{"name": f"{title}.{to}", "type": MIME_TYPES[to], "data": light_output(data, kind, to)}]

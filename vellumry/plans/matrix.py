@@ -61,16 +61,32 @@ def is_light(source: Column, target: Column) -> Column:
     return F.concat(source, F.lit(">"), target).isin([f"{s}>{t}" for s, t in LIGHT])
 
 
+OLD_OFFICE = ("doc", "xls", "ppt")
+IS_OLD = "Old binary {} files cannot be read; save the file in its newer format first."
+IS_OLE = "The file is an old binary or password-protected Office file and cannot be read."
+UNKNOWN = "{} files are not supported as conversion input."
+UNSUPPORTED, LISTED, EMPTY = "{} to {} is not supported.", " It converts to: {}.", "The file is empty."
+
+
+def why_refused(source: str, target: str, size: int, declared: str) -> str | None:
+    """refusal() for one file."""
+    if source == "ole":
+        return IS_OLD.format(declared.upper()) if declared in OLD_OFFICE else IS_OLE
+    if source not in {s for s, _, _ in PAIRS}:
+        return UNKNOWN.format((source or "unknown").upper())
+    if (source, target) not in {(s, t) for s, t, _ in PAIRS}:
+        others = LISTED.format(", ".join(t.upper() for t in ENGINE[source])) if source in ENGINE else ""
+        return UNSUPPORTED.format(source.upper(), target.upper()) + others
+    return EMPTY if size == 0 else None
+
+
 def refusal(source: Column, target: Column, size: Column, declared: Column) -> Column:
     """Why a conversion cannot start, or null.  An empty file is noticed last."""
-    up = F.upper
-    listed = F.lit(None).cast("string")
+    said = lambda text, *parts: F.format_string(text.replace("{}", "%s"), *parts)
+    listed = F.lit("")
     for s, ts in ENGINE.items():
-        listed = F.when(source == s, F.lit(", ".join(t.upper() for t in ts))).otherwise(listed)
-    old = F.when(declared.isin("doc", "xls", "ppt"), F.concat(F.lit("Old binary "), up(declared), F.lit(" files cannot be read; save the file in its newer format first."))).otherwise(
-        F.lit("The file is an old binary or password-protected Office file and cannot be read."))
-    known = source.isin(list({s for s, _, _ in PAIRS}))
-    return (F.when(source == "ole", old)
-            .when(~known, F.concat(up(F.coalesce(F.nullif(source, F.lit("")), F.lit("unknown"))), F.lit(" files are not supported as conversion input.")))
-            .when(~supported(source, target), F.concat(up(source), F.lit(" to "), up(target), F.lit(" is not supported."), F.coalesce(F.concat(F.lit(" It converts to: "), listed, F.lit(".")), F.lit(""))))
-            .when(size == 0, F.lit("The file is empty.")))
+        listed = F.when(source == s, F.lit(LISTED.format(", ".join(t.upper() for t in ts)))).otherwise(listed)
+    return (F.when((source == "ole") & declared.isin(*OLD_OFFICE), said(IS_OLD, F.upper(declared))).when(source == "ole", F.lit(IS_OLE))
+            .when(~source.isin(list({s for s, _, _ in PAIRS})), said(UNKNOWN, F.upper(F.coalesce(F.nullif(source, F.lit("")), F.lit("unknown")))))
+            .when(~supported(source, target), F.concat(said(UNSUPPORTED, F.upper(source), F.upper(target)), listed))
+            .when(size == 0, F.lit(EMPTY)))

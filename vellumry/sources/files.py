@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import posixpath
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,16 +15,23 @@ from pyspark.sql.types import StructType
 from . import limits
 
 
-def _named(files: DataFrame) -> DataFrame:
+def _named(files: DataFrame, *more: str) -> DataFrame:
     name = F.regexp_extract("path", "[^/]*$", 0)
-    return files.select(F.col("path").alias("doc_id"), name.alias("name"), F.nullif(F.regexp_extract(name, "\\.([^.]+)$", 1), F.lit("")).alias("declared"), "length", "content")
+    return files.select(F.col("path").alias("doc_id"), name.alias("name"), F.nullif(F.regexp_extract(name, "\\.([^.]+)$", 1), F.lit("")).alias("declared"), "length", "content", *more)
 
 
 def scan(spark: SparkSession, path: str, pattern: str = "*", most_bytes: int = limits.FILE_BYTES) -> DataFrame:
-    """doc_id, name, declared, length, content of the files below path.  The length filter reaches
-    the scan, so larger files are not read; the pattern prunes the listing."""
+    """doc_id, name, declared, length, content and error of the files below path.
+
+    Files over the cap come without content and with an error; neither scan reads theirs, as the
+    length filter reaches the first and the second has no content column.  The pattern prunes the
+    listing.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    return _named(files.where(F.col("length") <= most_bytes))
+    fit = files.where(F.col("length") <= most_bytes).withColumn("error", F.lit(None).cast("string"))
+    too_long = F.format_string("The file has %d bytes; at most %d are read.", "length", F.lit(most_bytes))
+    over = files.select("path", "modificationTime", "length").where(F.col("length") > most_bytes).withColumn("content", F.lit(None).cast("binary")).withColumn("error", too_long)
+    return _named(fit.unionByName(over), "error")
 
 
 def stream(spark: SparkSession, path: str, pattern: str = "*", files_per_trigger: int = 64) -> DataFrame:
@@ -35,8 +42,10 @@ def stream(spark: SparkSession, path: str, pattern: str = "*", files_per_trigger
 
 
 def image_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Images as decoded rows: origin, height, width, nChannels, mode, data (BGR)."""
-    return spark.read.format("image").option("dropInvalid", "true").load(path).select("image.*")
+    """Images as decoded rows: origin, height, width, nChannels, mode, data (BGR) and error, which
+    says so where a file is no image that can be decoded."""
+    rows = spark.read.format("image").option("dropInvalid", "false").load(path).select("image.*")
+    return rows.withColumn("error", F.when(F.col("height") < 0, F.lit("The file is not an image that can be decoded.")))
 
 
 def register_functions(spark: SparkSession) -> None:
@@ -58,10 +67,10 @@ def register_functions(spark: SparkSession) -> None:
 
 
 class OutputFiles(DataSource):
-    """A sink `output_files` that writes rows (name, data) as files below a shared folder.
+    """A sink `output_files` that writes rows (name, data) as files below a folder that all executors
+    reach: a mount, or a store that Arrow knows (hdfs, s3, gs).
 
     Each task writes under a temporary name and renames, so a retried task replaces its own files.
-    The folder must be mounted on all executors.
     """
 
     @classmethod
@@ -77,16 +86,19 @@ class OutputFiles(DataSource):
 
 class _FilesWriter(DataSourceWriter):
     def __init__(self, path: str):
-        self.path = path.removeprefix("file://")
+        self.path = path if "://" in path else "file://" + posixpath.abspath(path.removeprefix("file:"))
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
-        os.makedirs(self.path, exist_ok=True)
+        from pyarrow import fs
+
+        store, folder = fs.FileSystem.from_uri(self.path)
+        store.create_dir(folder, recursive=True)
         for row in rows:
-            target = os.path.join(self.path, posixpath.basename(row["name"]))
-            part = f"{target}.part-{os.getpid()}"
-            with open(part, "wb") as f:
+            target = posixpath.join(folder, posixpath.basename(row["name"]))
+            part = f"{target}.part-{uuid.uuid4().hex}"
+            with store.open_output_stream(part) as f:
                 f.write(row["data"])
-            os.replace(part, target)
+            store.move(part, target)
         return WriterCommitMessage()
 
 

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def _chunk(kind: bytes, body: bytes) -> bytes:
@@ -34,13 +35,15 @@ def from_bgr(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
 
 
 def convert(images: DataFrame, target: str = "png") -> DataFrame:
-    """origin, data, error for image rows."""
+    """origin, data, error for image rows; those that could not be decoded keep the scan's error."""
     why = None if target == "png" else f"{target.upper()} output needs an encoder that is not installed."
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = b.to_pylist()
-            data = [None if why else encode_png(from_bgr(r["data"], r["height"], r["width"], r["nChannels"])) for r in rows]
-            yield pa.RecordBatch.from_arrays([pa.array([r["origin"] for r in rows], pa.string()), pa.array(data, pa.binary()), pa.array([why] * len(rows), pa.string())], ["origin", "data", "error"])
+            errors = [r["error"] or why for r in rows]
+            data = [None if e else encode_png(from_bgr(r["data"], r["height"], r["width"], r["nChannels"])) for r, e in zip(rows, errors)]
+            yield pa.RecordBatch.from_arrays([pa.array([r["origin"] for r in rows], pa.string()), pa.array(data, pa.binary()), pa.array(errors, pa.string())], ["origin", "data", "error"])
 
-    return images.select("origin", "height", "width", "nChannels", "data").mapInArrow(run, "origin string, data binary, error string")
+    error = F.col("error") if "error" in images.columns else F.lit(None).cast("string")
+    return images.select("origin", "height", "width", "nChannels", "data", error.alias("error")).mapInArrow(run, "origin string, data binary, error string")

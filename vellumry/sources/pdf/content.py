@@ -55,6 +55,7 @@ class Page:
         self.doc, self.cache, self.unmapped = doc, cache, 0
         self.width, self.height, base = geometry(doc, page)
         self.runs: list[dict] = []
+        self.open: dict | None = None  # the run that the next glyph may go on
         contents = doc.get(page.get("Contents"))
         parts = [doc.get(c) for c in contents] if isinstance(contents, list) else [contents]
         data = b"\n".join(doc.decoded(s) for s in parts if isinstance(s, Stream))
@@ -157,16 +158,20 @@ class Page:
         if not size or not n:
             return
         ux, uy = m[0] / n, m[1] / n
-        last = self.runs[-1] if self.runs else None
+        last, blank = self.open, not text.strip()
         if last and abs(last["size"] - size) <= 0.03 * max(size, last["size"]) and last["bold"] == font.bold and abs(last["ux"] - ux) <= 0.02 and abs(last["uy"] - uy) <= 0.02:
             dx, dy = sx - last["ex"], sy - last["ey"]
             along, across = dx * ux + dy * uy, abs(dx * uy - dy * ux)
             if across < 0.2 * size and -0.6 * size < along < 0.55 * size:
-                spaced = along > 0.17 * size and not last["text"].endswith(" ") and text != " "
-                last["text"] += (" " if spaced else "") + text
+                after_space = last["text"].endswith(" ")
+                if not (after_space and text == " "):  # spaces do not add up
+                    last["text"] += (" " if along > 0.17 * size and not after_space and text != " " else "") + text
                 last["ex"], last["ey"] = ex, ey
                 return
-        self.runs.append({"text": text, "sx": sx, "sy": sy, "ex": ex, "ey": ey, "ux": ux, "uy": uy, "size": size, "bold": font.bold, "italic": font.italic})
+        self.open = None  # a blank glyph ends a run and opens none
+        if not blank:
+            self.open = {"text": text, "sx": sx, "sy": sy, "ex": ex, "ey": ey, "ux": ux, "uy": uy, "size": size, "bold": font.bold, "italic": font.italic}
+            self.runs.append(self.open)
 
 
 def read_runs(data: bytes) -> tuple[list[dict], int, str]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
 from ..functions.text import escape_xml, utf16_length
 from ..operators import model
 from . import ooxml, xmlio, zipio
@@ -16,6 +18,11 @@ SPACE = "http://schemas.openxmlformats.org/presentationml/2006/main"
 #: Slides take so many lines of so many characters, and tables so many rows.
 BUDGET_LINES, LINE_CHARS, TABLE_ROWS = 12, 80, 12
 MOST_POINTS = 56 * 72
+#: Places and sizes on flowing slides, and of boxes at the place of an item, in points and in em.
+MARGIN, TITLE_TOP, TITLE_HEIGHT, BODY_TOP, ROW_HEIGHT = 36.0, 24.0, 72.0, 108.0, 29.2
+TITLE_SIZE, BODY_SIZE = 28.0, 18.0
+PAGE = (612.0, 792.0)
+RISE, BOX_HEIGHT = 0.93, 1.25
 
 
 def _number(node: Element | None, key: str, default: float) -> float:
@@ -100,95 +107,112 @@ def _frame(x: float, y: float, w: float, h: float, prefix: str = "a") -> str:
     return f'<{prefix}:xfrm><a:off x="{a}" y="{b}"/><a:ext cx="{c}" cy="{d}"/></{prefix}:xfrm>'
 
 
-def _paragraphs(text: str, size: float, bold: bool) -> str:
-    look = f'<a:rPr lang="en-US" sz="{max(100, round(size * 100))}"{" b=\"1\"" if bold else ""}/>'
-    return "".join(f"<a:p>{f'<a:r>{look}<a:t>{escape_xml(line)}</a:t></a:r>' if line else ''}</a:p>" for line in text.replace("\t", "    ").split("\n"))
+def _runs(text: str, size: float, bold: bool) -> str:
+    """One paragraph; line ends are breaks within it."""
+    look = f'<a:rPr lang="en-US" sz="{min(400_000, max(100, round(size * 100)))}"{" b=\"1\"" if bold else ""}/>'
+    return f"<a:p>{'<a:br/>'.join(f'<a:r>{look}<a:t>{escape_xml(line)}</a:t></a:r>' for line in text.split(chr(10))) if text else ''}</a:p>"
 
 
-def _box(n: int, text: str, at: tuple[float, float, float, float], size: float, bold: bool = False, title: bool = False, wrap: bool = True) -> str:
+def _box(n: int, texts: list[tuple[str, float, bool]], at: tuple[float, float, float, float], title: bool = False, wrap: bool = True) -> str:
+    """A text box of paragraphs (text, size, bold); tabs are four spaces."""
     place = '<p:nvPr><p:ph type="title"/></p:nvPr>' if title else "<p:nvPr/>"
-    inset = 'lIns="0" tIns="0" rIns="0" bIns="0"'
+    body = '<a:bodyPr wrap="square" rtlCol="0"><a:normAutofit/></a:bodyPr>' if wrap else '<a:bodyPr wrap="none" lIns="0" tIns="0" rIns="0" bIns="0" rtlCol="0"><a:noAutofit/></a:bodyPr>'
     return (f'<p:sp><p:nvSpPr><p:cNvPr id="{n}" name="Text {n}"/><p:cNvSpPr txBox="1"/>{place}</p:nvSpPr><p:spPr>{_frame(*at)}<a:prstGeom prst="rect"><a:avLst/></a:prstGeom></p:spPr>'
-            f'<p:txBody><a:bodyPr wrap="{"square" if wrap else "none"}" {inset}/><a:lstStyle/>{_paragraphs(text, size, bold)}</p:txBody></p:sp>')
-
-
-def _table(n: int, rows: list[list[str]], at: tuple[float, float, float, float]) -> str:
-    columns = max(map(len, rows), default=1) or 1
-    width, height = round(at[2] * EMU / columns), round(24 * EMU)
-    grid = f'<a:gridCol w="{width}"/>' * columns
-    cell = lambda t: f"<a:tc><a:txBody><a:bodyPr/><a:lstStyle/>{_paragraphs(t, 12, False)}</a:txBody><a:tcPr/></a:tc>"
-    body = "".join(f'<a:tr h="{height}">{"".join(cell(r[c] if c < len(r) else "") for c in range(columns))}</a:tr>' for r in rows)
-    return (f'<p:graphicFrame><p:nvGraphicFramePr><p:cNvPr id="{n}" name="Table {n}"/><p:cNvGraphicFramePr/><p:nvPr/></p:nvGraphicFramePr>{_frame(*at, prefix="p")}'
-            f'<a:graphic><a:graphicData uri="http://schemas.openxmlformats.org/drawingml/2006/table"><a:tbl><a:tblPr firstRow="1"/><a:tblGrid>{grid}</a:tblGrid>{body}</a:tbl></a:graphicData></a:graphic></p:graphicFrame>')
-
-
-def flow(pages: list[dict], keep_consecutive: bool = False) -> list[dict]:
-    """Slides {title, texts, rows} of flowing blocks.  A heading starts a slide and replaces the
-    title of one that is still empty; with keep_consecutive the earlier heading stays on its own."""
+            f'<p:txBody>{body}<a:lstStyle/>{"".join(_runs(t.replace(chr(9), "    "), size, bold) for t, size, bold in texts)}</p:txBody></p:sp>')
+
+
+def _table(n: int, rows: list[list[str]], at: tuple[float, float, float]) -> str:
+    columns = max([1, *map(len, rows)])
+    x, y, wide = at
+    width, size = int(wide * EMU / columns), 9 if columns > 8 else 11 if columns > 5 else 14
+    cell = lambda t, bold: f"<a:tc><a:txBody><a:bodyPr/><a:lstStyle/>{_runs(t or '', size, bold)}</a:txBody><a:tcPr/></a:tc>"
+    body = "".join(f'<a:tr h="{round(ROW_HEIGHT * EMU)}">{"".join(cell(r[c] if c < len(r) else "", k == 0) for c in range(columns))}</a:tr>' for k, r in enumerate(rows))
+    frame = _frame(x, y, width * columns / EMU, ROW_HEIGHT * len(rows), prefix="p")
+    return (f'<p:graphicFrame><p:nvGraphicFramePr><p:cNvPr id="{n}" name="Table {n}"/><p:cNvGraphicFramePr/><p:nvPr/></p:nvGraphicFramePr>{frame}'
+            f'<a:graphic><a:graphicData uri="http://schemas.openxmlformats.org/drawingml/2006/table"><a:tbl><a:tblPr firstRow="1"/><a:tblGrid>{f"<a:gridCol w={chr(34)}{width}{chr(34)}/>" * columns}</a:tblGrid>{body}</a:tbl></a:graphicData></a:graphic></p:graphicFrame>')
+
+
+def _lines(text: str) -> int:
+    """Lines that a text takes of a slide."""
+    return sum(max(1, -(-utf16_length(x) // LINE_CHARS)) for x in text.split("\n"))
+
+
+def _sections(page: dict, title: str) -> list[tuple[str, list[dict]]]:
+    """Blocks of a page by the heading that they stand under; the first ones stand under the title."""
+    out: list[tuple[str, list[dict]]] = [(title, [])]
+    for block in page["blocks"] or ():
+        if block["type"] == "heading":
+            out.append((block["text"] or "", []))
+        else:
+            out[-1][1].append(block)
+    return out
+
+
+def _section_slides(title: str, blocks: list[dict]) -> list[dict]:
+    """Slides of one section: tables by TABLE_ROWS rows, texts by BUDGET_LINES lines."""
+    out: list[dict] = []
+    for is_table, some in groupby(blocks, key=lambda b: b["type"] == "table"):
+        if is_table:
+            for rows in ((b["rows"] or []) for b in some):
+                out += [{"title": title, "texts": [], "rows": rows[s:s + TABLE_ROWS]} for s in range(0, len(rows), TABLE_ROWS)]
+            continue
+        used = BUDGET_LINES + 1
+        for text, bold in ((b["text"] or "", bool(b.get("bold"))) for b in some):
+            if used + _lines(text) > BUDGET_LINES and (used > BUDGET_LINES or out[-1]["texts"]):
+                out.append({"title": title, "texts": [], "rows": None})
+                used = 0
+            out[-1]["texts"].append((text, bold))
+            used += _lines(text)
+    return out
+
+
+def flow(pages: list[dict], title: str = "", keep_consecutive: bool = False) -> list[dict]:
+    """Slides {title, texts, rows} of flowing blocks.
+
+    Slides are titled by the heading above them, before the first one by the page's name or the
+    document's title.  A section without blocks gives no slide but where it ends its page, so a
+    heading right after a heading replaces it; with keep_consecutive each heading has a slide.
+    """
     slides: list[dict] = []
-    now: dict | None = None
-
-    def open_slide(title: str = "") -> dict:
-        slides.append({"title": title, "texts": [], "rows": None, "used": 0})
-        return slides[-1]
-
     for page in pages:
-        now = None
-        for block in page["blocks"] or ():
-            if block["type"] == "heading":
-                if now is not None and now["title"] and not now["texts"] and now["rows"] is None and not keep_consecutive:
-                    now["title"] = block["text"]
-                else:
-                    now = open_slide(block["text"])
-            elif block["type"] == "table":
-                rows = block["rows"] or []
-                for s in range(0, len(rows), TABLE_ROWS):
-                    fresh = now is not None and not now["texts"] and now["rows"] is None
-                    now = now if fresh else open_slide(now["title"] if now is not None and s == 0 and not now["texts"] else "")
-                    now["rows"] = rows[s:s + TABLE_ROWS]
-                now = None
-            elif (block["text"] or "").strip():
-                lines = sum(max(1, -(-utf16_length(x) // LINE_CHARS)) for x in block["text"].split("\n"))
-                if now is None or now["rows"] is not None or now["used"] + lines > BUDGET_LINES and now["texts"]:
-                    now = open_slide()
-                now["texts"].append((block["text"], bool(block.get("bold"))))
-                now["used"] += lines
-    return slides or [{"title": "", "texts": [], "rows": None}]
+        sections = _sections(page, page.get("name") or title)
+        for n, (head, blocks) in enumerate(sections):
+            found = _section_slides(head, blocks)
+            if not found and (n == len(sections) - 1 or keep_consecutive and n):
+                found = [{"title": head, "texts": [], "rows": None}]
+            slides += found
+    return slides
 
 
 def _flow_slide(slide: dict, width: float, height: float) -> str:
-    margin, y, out, n = 48.0, 36.0, [], 2
-    if slide["title"]:
-        out.append(_box(n, slide["title"], (margin, y, width - 2 * margin, 60), 28, True, title=True))
-        n, y = n + 1, y + 76
-    for text, bold in slide["texts"]:
-        lines = sum(max(1, -(-utf16_length(x) // LINE_CHARS)) for x in text.split("\n"))
-        out.append(_box(n, text, (margin, y, width - 2 * margin, 22.0 * lines), 16, bold))
-        n, y = n + 1, y + 24.0 * lines + 6
+    x, top, wide = MARGIN, BODY_TOP, width - 2 * MARGIN
+    out = [_box(2, [(slide["title"], TITLE_SIZE, True)], (x, TITLE_TOP, wide, TITLE_HEIGHT), title=True)] if slide["title"] else []
     if slide["rows"] is not None:
-        out.append(_table(n, slide["rows"], (margin, y, width - 2 * margin, 24.0 * len(slide["rows"]))))
+        out.append(_table(3, slide["rows"], (x, top, wide)))
+    elif slide["texts"]:
+        out.append(_box(3, [(text, BODY_SIZE, bold) for text, bold in slide["texts"]], (x, top, wide, height - top - MARGIN)))
     return "".join(out)
 
 
 def _placed_slide(page: dict, width: float, height: float) -> str:
     """One box per item of a page, scaled to fit the slide."""
-    scale = min(width / page["width"], height / page["height"]) if page["width"] and page["height"] else 1.0
+    scale = min(width / (page["width"] or PAGE[0]), height / (page["height"] or PAGE[1]))
     out = []
     for n, item in enumerate(page["items"] or (), 2):
         size = item["size"] * scale
-        at = (item["x"] * scale, (item["y"] - item["size"]) * scale, item["width"] * scale + size, size * 1.3)
-        out.append(_box(n, item["text"], at, size, bool(item["bold"]), wrap=False))
+        at = (item["x"] * scale, (item["y"] - item["size"] * RISE) * scale, item["width"] * scale + size, size * BOX_HEIGHT)
+        out.append(_box(n, [(item["text"], size, bool(item["bold"]))], at, wrap=False))
     return "".join(out)
 
 
-def write(pages: list[dict], title: str, stamp: str, positioned: bool = False) -> bytes:
-    """A presentation: positioned text where pages have items, flowing slides otherwise."""
-    if positioned and pages:
-        width, height = (min(MOST_POINTS, max(72.0, pages[0][k])) for k in ("width", "height"))
+def write(pages: list[dict], title: str, stamp: str) -> bytes:
+    """A presentation: text at its place where pages have items, flowing slides otherwise."""
+    if any(p.get("items") is not None for p in pages):
+        width, height = (min(MOST_POINTS, max(72.0, pages[0][k] or usual)) for k, usual in zip(("width", "height"), PAGE))
         trees = [_placed_slide(p, width, height) for p in pages]
     else:
         width, height = SLIDE
-        trees = [_flow_slide(s, width, height) for s in flow(pages)]
+        trees = [_flow_slide(s, width, height) for s in flow(pages, title)] or [""]
     pair = f'xmlns:a="{DRAWING}"'
     group = '<p:nvGrpSpPr><p:cNvPr id="1" name=""/><p:cNvGrpSpPr/><p:nvPr/></p:nvGrpSpPr><p:grpSpPr/>'
     kind = "application/vnd.openxmlformats-officedocument.presentationml."

@@ -86,10 +86,11 @@ def number_text(raw: str, kind: str, epoch_1904: bool) -> str:
 def _sheet_rows(sheet: xmlio.Element, strings: list[str], formats: list[str], epoch_1904: bool) -> list[list[str]]:
     rows: list[list[str]] = []
     data = sheet.find("sheetData")
+    following = 1  # the number of a row that follows the last one, whatever was left out of a gap
     for row in data.kids("row") if data else ():
-        number = int(row.attrs["r"]) if row.attrs.get("r", "").isdigit() else len(rows) + 1
-        gap = max(0, number - 1 - len(rows))
-        rows += [[] for _ in range(min(gap, limits.BLANK_ROWS) if number - 1 > len(rows) else 0)]
+        number = int(row.attrs["r"]) if row.attrs.get("r", "").isdigit() and int(row.attrs["r"]) else following
+        rows += [[] for _ in range(min(number - following, limits.BLANK_ROWS))]
+        following = number + 1
         cells: dict[int, str] = {}
         column = -1
         for c in row.kids("c"):
