@@ -2,7 +2,9 @@
 
 import random
 
-from vellumry.llm import minwise, simhash
+import pytest
+
+from vellumry.llm import components, minwise, simhash
 
 
 def shingles(text):
@@ -83,6 +85,7 @@ def one_list(spark, monkeypatch, rows, texts):
     monkeypatch.setattr(minwise, "ROWS", 0)
     monkeypatch.setattr(minwise, "BANDS", 1)
     monkeypatch.setattr(minwise, "LIST_ROWS", rows)
+    monkeypatch.setattr(minwise, "FURTHER", tuple(range(40)))  # short texts of few shared bytes
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     group = list(range(len(texts)))
     for a, b in minwise.links(df).collect():
@@ -99,3 +102,50 @@ def test_parts_of_a_list_meet_all_leaders_before(spark, monkeypatch):
 def test_a_leader_ties_all_groups_it_reaches(spark, monkeypatch):
     texts = [" ".join(f"w{i}" for i in range(s, s + 250)) for s in (0, 100, 25, 75, 50)]
     assert one_list(spark, monkeypatch, 100, texts) == [0] * 5
+
+
+def chains(rng, count, length):
+    """Texts in chains: neighbours are similar, the ends are not, and the order hides it."""
+    texts = []
+    for n in range(count):
+        texts += [" ".join(f"c{n}w{i}" for i in range(s, s + 300)) for s in range(0, 30 * length, 30)]
+    rng.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize("rows", [6, 16, 200])
+def test_lists_of_any_length_lose_no_link(spark, monkeypatch, rows):
+    """Against all pairs: parts, further bytes and pairs of blocks give the same groups."""
+    texts = chains(random.Random(24), 4, 12)
+    want = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if want[i] != want[j] and similarity(texts[i], texts[j]) >= 0.8:
+                want = [min(want[i], want[j]) if g in (want[i], want[j]) else g for g in want]
+    assert len(set(want)) == 4 and one_list(spark, monkeypatch, rows, texts) == want
+
+
+def test_recall_of_links_against_all_pairs(spark):
+    rng = random.Random(25)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(40):
+        base = rng.choices(vocabulary, k=200)
+        for k in (0, 1, 2, 3, 4):
+            w = list(base)
+            for at in rng.sample(range(200), k):
+                w[at] = rng.choice(vocabulary)
+            texts.append(" ".join(w))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    root = {r.node: r.root for r in components.components(minwise.links(df)).collect()}
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if similarity(texts[i], texts[j]) >= 0.8]
+    assert len(pairs) > 100 and sum(i in root and root[i] == root.get(j) for i, j in pairs) / len(pairs) > 0.99
+
+
+def test_odd_rows_have_no_links_or_their_own(spark):
+    rows = [(None, "a b c d e f"), (1, None), (2, ""), (3, "a b c d e f"), (3, "g h i j k l"), (4, "g h i j k l m"), (5, "a  b C d E f"), (6, "x " * 200_000), (7, "x " * 200_001)]
+    df = spark.createDataFrame([(*r, "k", b"d") for r in rows], "doc_id long, text string, key string, digest binary")
+    found = {tuple(sorted(r)) for r in minwise.links(df).collect() if r.a != r.b}
+    assert found <= {(3, 4), (6, 7)} and (6, 7) in found
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} >= {None, 1, 3, 6}

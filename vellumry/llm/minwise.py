@@ -10,9 +10,12 @@ and only sorts out pairs that lie five of them below.
 
 A key's members come in order of how many texts share their keys, so the original of a group of
 copies is first and takes its copies at once; only members that no earlier leader takes are compared
-with all.  Links tie groups together, they are never all pairs.  Keys with more than LIST_ROWS
-members compare each part of the list with itself, with the first part and with the leaders of all
-parts before.
+with all.  Links tie groups together, they are never all pairs.  In a list of up to LIST_ROWS members
+whose leaders leave more than one group, all members of different groups are compared, so no link
+between groups is lost.  A longer list is searched in parts that keep the leaders; if that leaves one
+group, nothing is open.  Else its members are dealt anew by FURTHER single bytes of the sketch (a
+pair at 0.8 shares one of them but with probability 1e-7), and what is still too long and open by
+pairs of blocks, each of which is again compared in full.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import bytes_of, slices, stash
 
@@ -32,6 +36,8 @@ WORDS = 5
 SIMILARITY = 0.8
 SKETCH, BANDS, ROWS = 256, 20, 5
 LIST_ROWS = 1024
+#: Bytes of the sketch, beyond those of the bands, that split the lists which parts leave open.
+FURTHER = tuple(range(BANDS * ROWS + 1, BANDS * ROWS + 11))
 #: Shared bytes of 256 from which a pair is verified: the expectation at the similarity, less five standard errors.
 TALLY = int(SKETCH * (SIMILARITY + (1 - SIMILARITY) / 256) - 5 * (SKETCH * SIMILARITY * (1 - SIMILARITY)) ** 0.5)
 
@@ -101,13 +107,14 @@ def _shingled(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "digest binary, hashes binary")
 
 
-def _tie(ids: list, sketch: np.ndarray, hashes: list[np.ndarray], leaders: list[int], known: list[int], out: tuple[list, list]) -> tuple[list[int], list[int]]:
+def _tie(ids: list, sketch: np.ndarray, hashes: list[np.ndarray], leaders: list[int], known: list[int], out: tuple[list, list], whole: bool = False) -> tuple[list[int], list[int]]:
     """Link the members after those whose groups are known, and return the leaders and the groups
     of all; a group is named by the position of one of its leaders.
 
     A member that no leader ties becomes a leader: it is compared with everything before it and
     with everything after, and tied to one member of each group it reaches.  A leader takes all
-    similar later members that are free.
+    similar later members that are free.  If the whole list is here, members of different groups are
+    then compared as well, until one group is left.
     """
     done = len(known)
     free = np.ones(len(ids), bool)
@@ -154,36 +161,40 @@ def _tie(ids: list, sketch: np.ndarray, hashes: list[np.ndarray], leaders: list[
             leaders.append(i)
             take(i, 0, i)
             take(i, i + 1, len(ids))
+    if whole:
+        roots = np.array([find(int(g)) for g in group])
+        led = set(leaders)  # leaders have met everybody
+        for i in range(len(ids)):
+            if i in led or (roots == roots[i]).all():
+                continue
+            for j in near(i, 0, i):
+                if roots[j] != roots[i] and similar(i, j):
+                    out[0].append(ids[i])
+                    out[1].append(ids[j])
+                    roots[roots == roots[j]] = roots[i]
+        return leaders, roots.tolist()
     return leaders, [find(int(g)) for g in group]
 
 
-def links(docs: DataFrame) -> DataFrame:
-    """Links (a, b) of doc_ids; of texts with the same words only the smallest doc_id takes part."""
-    named = docs.where("doc_id is not null")
-    made = stash(sketches(named), "minwise")
-    kind = docs.schema["doc_id"].dataType
-    texts = stash(made.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "minwise-texts")
-    keyed = texts.select(F.explode("keys").alias("key"), "digest")
-    members = stash(keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"), "minwise-keys")
-    ranks = members.groupBy("digest").agg(F.sum("n").alias("shares"))
-    listed = stash(texts.join(ranks, "digest").select("digest", "doc_id", "shares", "sketch"), "minwise-listed")
-    # shingles of listed texts only: those of all would be as large as the texts
-    full = _shingled(named.join(listed.select("doc_id").distinct(), "doc_id", "left_semi")).groupBy("digest").agg(F.first("hashes").alias("hashes"))
-    known = stash(listed.join(full, "digest"), "minwise-known")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = members.select("key", "digest").join(known, "digest").select("key", "shares", "doc_id", "sketch", "hashes")
-    dealt = dealt.repartition(parts, "key").sortWithinPartitions("key", F.desc("shares"), "doc_id")
+def _search(dealt: DataFrame, most: int | None) -> DataFrame:
+    """a, b and open: links of lists, and the keys of lists over `most` rows that several groups are
+    left in.  dealt: key, shares, doc_id, sketch and hashes; without `most` no list is cut."""
+    kind = dealt.schema["doc_id"].dataType
+    parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.select("key", "shares", "doc_id", "sketch", "hashes").repartition(parts, "key").sortWithinPartitions("key", F.desc("shares"), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, held, shingled, pivots = None, [], [], [], None
         out: tuple[list, list] = ([], [])
+        open_keys: list[int] = []
 
-        def close() -> None:
+        def close(last: bool) -> None:
+            """Search the rows held, which are the list or a part of it."""
             nonlocal ids, held, shingled, pivots
             if ids:
                 rows = np.frombuffer(b"".join(held), np.uint8).reshape(-1, SKETCH)
                 if pivots is None:
-                    pivots = ids, rows, shingled, *_tie(ids, rows, shingled, [], [], out)
+                    pivots = ids, rows, shingled, *_tie(ids, rows, shingled, [], [], out, whole=last)
                 else:
                     done = len(pivots[0])
                     every = pivots[0] + ids, np.vstack([pivots[1], rows]), pivots[2] + shingled
@@ -191,23 +202,69 @@ def links(docs: DataFrame) -> DataFrame:
                     stay = [*range(done), *(i for i in leaders if i >= done)]
                     place = {i: n for n, i in enumerate(stay)}
                     pivots = [every[0][i] for i in stay], every[1][stay], [every[2][i] for i in stay], [place[i] for i in leaders], [place[group[i]] for i in stay]
+                    if last and len(set(pivots[4])) > 1:
+                        open_keys.append(key)
             ids, held, shingled = [], [], []
 
+        def found() -> pa.RecordBatch:
+            n, m = len(out[0]), len(open_keys)
+            columns = [pa.array([*x, *[None] * m], to_arrow_type(kind)) for x in out]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([*[None] * n, *open_keys], pa.int64())], ["a", "b", "open"])
+
         for b in batches:
             for k, doc_id, sketch, hashes in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4))):
                 if k != key:
-                    close()
+                    close(True)
                     key, pivots = k, None
-                elif len(ids) == LIST_ROWS:
-                    close()
+                elif most is not None and len(ids) == most:
+                    close(False)
                 ids.append(doc_id)
                 held.append(sketch)
                 shingled.append(np.frombuffer(hashes, np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(x, b.schema.field(2).type) for x in out], ["a", "b"])
-            out = ([], [])
-        close()
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["a", "b"])
+            yield found()
+            out[0].clear()
+            out[1].clear()
+            open_keys.clear()
+        close(True)
+        yield found()
 
     name = kind.simpleString()
-    return dealt.mapInArrow(run, f"a {name}, b {name}").distinct()
+    return dealt.mapInArrow(run, f"a {name}, b {name}, open long")
+
+
+def links(docs: DataFrame) -> DataFrame:
+    """Links (a, b) of doc_ids; of texts with the same words only the smallest doc_id takes part.
+
+    Null texts, texts without words and rows without a doc_id have no links.  Rows that repeat a
+    doc_id take part with each of their texts, so two texts of one id may link it to itself.  An
+    empty table gives no rows; a text of any length is taken whole.
+    """
+    named = docs.where("doc_id is not null")
+    made = stash(sketches(named), "minwise")
+    kind = docs.schema["doc_id"].dataType
+    texts = stash(made.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "minwise-texts")
+    keyed = texts.select(F.explode("keys").alias("key"), "digest")
+    members = stash(keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"), "minwise-keys")
+    ranks = members.groupBy("digest").agg(F.sum("n").alias("shares"))
+    listed = stash(texts.join(ranks, "digest").select("digest", "doc_id", "shares", "sketch"), "minwise-listed")
+    # shingles of listed texts only: those of all would be as large as the texts
+    full = _shingled(named.join(listed.select("doc_id").distinct(), "doc_id", "left_semi")).groupBy("digest").agg(F.first("hashes").alias("hashes"))
+    known = stash(listed.join(full, "digest"), "minwise-known")
+    columns = ["shares", "doc_id", "sketch", "hashes"]
+    first = stash(_search(members.select("key", "digest").join(known, "digest"), LIST_ROWS), "minwise-links")
+    found, left = first.where("open is null").select("a", "b"), first.where("open is not null").select(F.col("open").alias("key"))
+    if left.isEmpty():
+        return found.distinct()
+    byte = lambda j: F.xxhash64("key", F.lit(j), F.substring("sketch", j + 1, 1))
+    rest = members.join(left.distinct(), "key", "left_semi").select("key", "digest").join(known, "digest")
+    split = stash(rest.select(F.explode(F.array(*map(byte, FURTHER))).alias("key"), *columns), "minwise-split")
+    second = stash(_search(split, LIST_ROWS), "minwise-links")
+    found, left = found.unionByName(second.where("open is null").select("a", "b")), second.where("open is not null").select(F.col("open").alias("key"))
+    if left.isEmpty():
+        return found.distinct()
+    rest = split.join(left.distinct(), "key", "left_semi")
+    blocks = rest.groupBy("key").agg(F.ceil(F.count("*") * 2 / LIST_ROWS).cast("int").alias("n"))
+    mine, other = F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int"), F.col("other")
+    pairs = rest.join(blocks, "key").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    third = _search(pairs.select(F.xxhash64("key", F.least("mine", other), F.greatest("mine", other)).alias("key"), *columns), None)
+    return found.unionByName(stash(third, "minwise-links").select("a", "b")).distinct()
