@@ -249,7 +249,15 @@ def test_keep_one(docs):
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
     comp = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs.where("doc_id is not null")).collect()}
-    assert sorted(i for i in ids if i is not None) == sorted(set(comp.values())) and ids.count(None) == 1
+    assert sorted(ids) == sorted(set(comp.values()))  # the row without an id is a copy as well
+
+
+def test_keep_one_judges_rows_not_ids(spark):
+    word = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    records = [(7, word("a"), "x"), (7, word("b"), "x"), (8, word("b"), "x"), (None, word("c"), "x"), (None, word("c"), "y"), (None, word("a"), "z"), (9, word("d"), "x"), (9, word("d"), "x")]
+    df = spark.createDataFrame(records, "doc_id long, text string, row string")
+    kept = sorted((str(r.doc_id), r.text[0]) for r in simhash.keep_one(df).collect())
+    assert kept == [("7", "a"), ("7", "b"), ("9", "d"), ("None", "c")] and simhash.keep_one(df.where("false")).count() == 0
 
 
 # ------------------------------------------------------------------ 4 pieces
@@ -765,6 +773,27 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     check_packing(got, sorted(first.values()))
 
 
+def test_pipeline_stages_on_odd_tables(spark):
+    """Nulls, repeated ids and clashing names in every stage, and a table without rows."""
+    import corpus_pipeline
+
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choices(["ba", "co", "di", "fu", "gra", "lan"], k=rng.randint(1, 3)))
+    texts = [" ".join(word() for _ in range(60)) for _ in range(8)]
+    records = [(i % 5 if i < 7 else None, t, "en" if i % 2 else None, "s", len(t), 1, "q", "w") for i, t in enumerate(texts)] + [(None, None, None, None, None, None, None, None), (3, texts[3], "en", "s", 5, 1, "q", "w")]
+    df = spark.createDataFrame(records, "doc_id long, text string, lang string, source string, n_chars long, row long, g string, kept string")
+    docs = df
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == df.columns
+    assert Counter(r.text for r in docs.collect()) == Counter(texts)
+    assert Counter(r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()) == Counter(r[0] for r in records[:8])
+    none = df.where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        none = stage(spark, none, "") if none is not None else None
+        assert none.count() == 0
+
+
 def test_registry_and_stages(spark, sf_dir):
     import __spark_entry__
     import corpus_pipeline

@@ -261,19 +261,19 @@ def keep_one(docs: DataFrame, words: int = 3) -> DataFrame:
     """docs without near-duplicates: of each group the row with the smallest doc_id stays.
 
     Groups are the components of near_duplicates() joined by the links of minwise.links(), which
-    sees the copies from a similarity of 0.8 on that 3 bits of SimHash do not.  Rows that repeat
-    the doc_id that stays are copies themselves, so one of them (the least) stays.  Rows without a
-    doc_id cannot be named as anybody's copy and pass unchanged.
+    sees the copies from a similarity of 0.8 on that 3 bits of SimHash do not.  Rows are numbered in
+    a stored table and judged by their texts: unlike texts that share a doc_id both stay, rows
+    without a doc_id are copies or originals like any other (a row with one stays before them), and
+    of rows that are the same one stays.  Null, empty and blank texts are copies of one another.  An
+    empty table stays empty; all columns are kept as they are.
     """
-    order = docs.columns
-    named = docs.where("doc_id is not null")
-    of = stash(near_duplicates(named, words).select("doc_id", "component_id").distinct(), "simhash-components")
-    wide = minwise.links(named)
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
+    rows = stash(docs.select(F.monotonically_increasing_id().alias("row"), whole), "rows")
+    texts = rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text"))
+    of = stash(near_duplicates(texts, words).select("doc_id", "component_id"), "simhash-components")
     by = lambda name: of.select(F.col("doc_id").alias(name), F.col("component_id").alias(f"_{name}"))
-    edges = wide.join(by("a"), "a").join(by("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
-    gone = components(edges).where("node != root").select(F.col("node").alias("doc_id"))
-    firsts = of.where("doc_id = component_id").select("doc_id").join(gone, "doc_id", "left_anti")
-    kept = named.join(firsts, "doc_id", "left_semi")
-    others = [c for c in order if c != "doc_id"]
-    one = kept.groupBy("doc_id").agg(F.min(F.struct(*others)).alias("_row"))
-    return one.select("doc_id", "_row.*").select(*order).unionByName(docs.where("doc_id is null"))
+    edges = minwise.links(texts).join(by("a"), "a").join(by("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    groups = of.join(components(edges), F.col("component_id") == F.col("node"), "left").select(F.col("doc_id").alias("row"), F.coalesce("root", "component_id").alias("g"))
+    names = rows.select("row", F.col("doc.doc_id").alias("doc_id"))
+    first = groups.join(names, "row").groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row"))["row"].alias("row"))
+    return rows.join(first, "row", "left_semi").select("doc.*")
