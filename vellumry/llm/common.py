@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 SLICE_ROWS = 256
 
 _roots: dict[str, str] = {}
+#: Stored tables with their paths, by the identity of their DataFrame.
+_stored: dict[int, tuple[DataFrame, str]] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -60,8 +62,18 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     lost executors, because every reader sees the same complete files."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    _stored[id(kept)] = kept, path
+    return kept
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete stored tables that no result reads any more."""
+    for table in tables:
+        if id(table) in _stored:
+            kept, path = _stored.pop(id(table))
+            drop_path(kept.sparkSession, path)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:

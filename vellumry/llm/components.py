@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import release, stash
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -32,15 +32,19 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
 
     Each round is aggregated before it is joined, so a node with very many neighbours costs one
     partial aggregate per task, and its join is split by AQE.  Each round is stored in the shared
-    folder, which cuts the lineage.  An edge table without rows gives no rows.
+    folder, which cuts the lineage, and the rounds end when one changes no edge.  An edge table
+    without rows gives no rows.
     """
     now = stash(edges.select("a", "b").where("a != b").distinct(), "components")
-    last = None
+    before, size = None, 0
     for _ in range(rounds):
-        state = now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
-        if state == last or not state[0]:
+        last, size = size, now.count()
+        # distinct edges: as many as before, and none of those gone, is no change
+        settled = not size or before is not None and size == last and before.exceptAll(now).isEmpty()
+        if before is not None:
+            release(before)
+        if settled:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
                 now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        last = state
-        now = stash(_small_star(_large_star(now)).distinct(), "components")
+        before, now = now, stash(_small_star(_large_star(now)).distinct(), "components")
     raise RuntimeError(f"components did not settle in {rounds} rounds")

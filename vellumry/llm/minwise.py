@@ -14,7 +14,7 @@ with all.  Links tie groups together, they are never all pairs.  In a list of up
 whose leaders leave more than one group, all members of different groups are compared, so no link
 between groups is lost.  A longer list is searched in parts that keep the leaders; if that leaves one
 group, nothing is open.  Else its members are dealt anew by FURTHER single bytes of the sketch (a
-pair at 0.8 shares one of them but with probability 1e-7), and what is still too long and open by
+pair at 0.8 shares none of them with probability 0.0003), and what is still too long and open by
 pairs of blocks, each of which is again compared in full.
 """
 
@@ -30,14 +30,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import bytes_of, slices, stash
+from .common import bytes_of, release, slices, stash
 
 WORDS = 5
 SIMILARITY = 0.8
 SKETCH, BANDS, ROWS = 256, 20, 5
 LIST_ROWS = 1024
 #: Bytes of the sketch, beyond those of the bands, that split the lists which parts leave open.
-FURTHER = tuple(range(BANDS * ROWS + 1, BANDS * ROWS + 11))
+FURTHER = tuple(range(BANDS * ROWS + 1, BANDS * ROWS + 6))
 #: Shared bytes of 256 from which a pair is verified: the expectation at the similarity, less five standard errors.
 TALLY = int(SKETCH * (SIMILARITY + (1 - SIMILARITY) / 256) - 5 * (SKETCH * SIMILARITY * (1 - SIMILARITY)) ** 0.5)
 
@@ -254,17 +254,24 @@ def links(docs: DataFrame) -> DataFrame:
     first = stash(_search(members.select("key", "digest").join(known, "digest"), LIST_ROWS), "minwise-links")
     found, left = first.where("open is null").select("a", "b"), first.where("open is not null").select(F.col("open").alias("key"))
     if left.isEmpty():
-        return found.distinct()
+        return _whole(found, made, texts, members, listed, known, first)
     byte = lambda j: F.xxhash64("key", F.lit(j), F.substring("sketch", j + 1, 1))
-    rest = members.join(left.distinct(), "key", "left_semi").select("key", "digest").join(known, "digest")
-    split = stash(rest.select(F.explode(F.array(*map(byte, FURTHER))).alias("key"), *columns), "minwise-split")
-    second = stash(_search(split, LIST_ROWS), "minwise-links")
+    rest = members.join(left.distinct(), "key", "left_semi").select("key", "digest").join(known.select("digest", "sketch"), "digest")
+    split = stash(rest.select(F.explode(F.array(*map(byte, FURTHER))).alias("key"), "digest"), "minwise-split")
+    second = stash(_search(split.join(known, "digest"), LIST_ROWS), "minwise-links")
     found, left = found.unionByName(second.where("open is null").select("a", "b")), second.where("open is not null").select(F.col("open").alias("key"))
     if left.isEmpty():
-        return found.distinct()
-    rest = split.join(left.distinct(), "key", "left_semi")
+        return _whole(found, made, texts, members, listed, known, first, split, second)
+    rest = split.join(left.distinct(), "key", "left_semi").join(known, "digest")
     blocks = rest.groupBy("key").agg(F.ceil(F.count("*") * 2 / LIST_ROWS).cast("int").alias("n"))
     mine, other = F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int"), F.col("other")
     pairs = rest.join(blocks, "key").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     third = _search(pairs.select(F.xxhash64("key", F.least("mine", other), F.greatest("mine", other)).alias("key"), *columns), None)
-    return found.unionByName(stash(third, "minwise-links").select("a", "b")).distinct()
+    return _whole(found.unionByName(third.select("a", "b")), made, texts, members, listed, known, first, split, second)
+
+
+def _whole(found: DataFrame, *inputs: DataFrame) -> DataFrame:
+    """The distinct links as a stored table; what they were made from goes."""
+    kept = stash(found.distinct(), "minwise-found")
+    release(*inputs)
+    return kept

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import minwise
-from .common import bytes_of, slices, stash
+from .common import bytes_of, release, slices, stash
 from .components import components
 
 MAX_BITS = 3
@@ -272,8 +272,11 @@ def keep_one(docs: DataFrame, words: int = 3) -> DataFrame:
     texts = rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text"))
     of = stash(near_duplicates(texts, words).select("doc_id", "component_id"), "simhash-components")
     by = lambda name: of.select(F.col("doc_id").alias(name), F.col("component_id").alias(f"_{name}"))
-    edges = minwise.links(texts).join(by("a"), "a").join(by("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
-    groups = of.join(components(edges), F.col("component_id") == F.col("node"), "left").select(F.col("doc_id").alias("row"), F.coalesce("root", "component_id").alias("g"))
+    wide = minwise.links(texts)
+    edges = wide.join(by("a"), "a").join(by("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    labels = components(edges)
+    release(wide)
+    groups = of.join(labels, F.col("component_id") == F.col("node"), "left").select(F.col("doc_id").alias("row"), F.coalesce("root", "component_id").alias("g"))
     names = rows.select("row", F.col("doc.doc_id").alias("doc_id"))
     first = groups.join(names, "row").groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row"))["row"].alias("row"))
     return rows.join(first, "row", "left_semi").select("doc.*")
