@@ -13,7 +13,7 @@ from ..functions import columns as C
 from ..functions import text as T
 from ..operators import model, relational, render
 from ..sources import csvio, htmlio, jsonio
-from . import convert, matrix
+from . import convert, fixtures, matrix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -508,3 +508,9 @@ def _letters(d: DataFrame) -> DataFrame:
     read = convert.read(convert.detect(_written(docs, "pdf")))
     text = F.array_join(F.flatten(F.transform("pages", lambda p: F.transform(p["blocks"], lambda b: F.coalesce(b["text"], F.array_join(F.flatten(b["rows"]), " "))))), "\n")
     return read.select("doc_id", F.length(F.regexp_replace(text, "[^A-Za-z]", "")).cast("long").alias("letters"))
+
+
+# ------------------------------------------------------------------ readers over hand-built files
+
+QUERIES |= fixtures.QUERIES
+ORACLE_SQL |= fixtures.ORACLE_SQL
