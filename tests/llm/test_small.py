@@ -65,24 +65,31 @@ def test_rollup_is_idempotent_and_compacts(spark):
     r = token_counts.Rollup(spark, scratch_path(spark, "r"))
     assert r.totals().count() == 0
     assert r.commit("a", feed("insert", ("x", None, 10), ("y", None, 5), ("x", None, 1)))
-    assert not r.commit("a", feed("insert", ("x", None, 10)))
+    assert not r.commit("a", feed("insert", ("x", None, 1), ("x", None, 10), ("y", None, 5)))  # the same in another order
+    with pytest.raises(ValueError, match="other content"):
+        r.commit("a", feed("insert", ("x", None, 10)))
     assert r.commit("b", feed("revise", ("x", 10, 12)))
     r.compact()
     assert not r.commit("b", feed("revise", ("x", 10, 12)))
     assert r.commit("c", feed("delete", ("y", 5, None)))
     r.compact()
-    assert [tuple(t) for t in r.totals().collect()] == [("x", "en", "t-1", 2, 13)] and r.batches() == {"a", "b", "c"}
+    assert [tuple(t) for t in r.totals().collect()] == [("x", "en", "t-1", 2, 13)] and {x.batch for x in r.batches().collect()} == {"a", "b", "c"}
+    assert r._names("base") == ["2"] and r._names("delta") == [] and r._names("pending") == []
+    with pytest.raises(ValueError, match="other content"):
+        r.commit("c", feed("delete", ("y", 4, None)))
+    assert not r.commit("c", feed("delete", ("y", 5, None))) and r.commit("none", feed("insert")) and not r.commit("none", feed("insert"))
     with pytest.raises(ValueError):
         r.commit("no/slash", feed("insert"))
 
 
-def test_unfinished_batch_is_written_anew(spark):
+def test_unfinished_batches_and_rival_writers(spark):
     r = token_counts.Rollup(spark, scratch_path(spark, "r"))
-    feed = spark.createDataFrame([("x", "en", "t", "insert", None, 3)], "source string, lang string, tokenizer string, change string, old_tokens long, new_tokens long")
-    token_counts.signed_sums(feed).write.parquet(f"{r.path}/delta/a")
-    fs, p = r._fs(f"{r.path}/delta/a/_SUCCESS")
-    fs.delete(p, False)
-    assert r.totals().count() == 0 and r.commit("a", feed) and r.totals().first().tokens == 3
+    feed = spark.createDataFrame([("x", "en", None, "insert", None, 3), (None, None, "t", "insert", None, None), ("x", "en", None, "delete", 8, None)], "source string, lang string, tokenizer string, change string, old_tokens long, new_tokens long")
+    token_counts.signed_sums(feed).write.parquet(f"{r.path}/pending/half")
+    assert r.totals().count() == 0 and r.commit("a", feed)
+    assert sorted((x.source, x.documents, x.tokens) for x in r.totals().collect() if x.source) == [("x", 0, -5)]  # a total below zero stays visible
+    token_counts.signed_sums(feed).write.parquet(f"{r.path}/pending/late")  # another writer with the same id comes second
+    assert not r._publish("pending/late", "delta/a") and r.totals().where("source = 'x'").first().tokens == -5
 
 
 # ------------------------------------------------------------------ 2 language model
