@@ -149,3 +149,21 @@ def test_odd_rows_have_no_links_or_their_own(spark):
     assert found <= {(3, 4), (6, 7)} and (6, 7) in found
     kept = simhash.keep_one(df)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {1, 3, 4, 6}
+
+
+def test_lists_that_hold_the_same_texts_are_searched_once(spark):
+    rng = random.Random(29)
+    vocabulary = [f"w{i}" for i in range(400)]
+    rows = []
+    for k in range(30):  # pairs that differ in one word, and texts by themselves
+        w = rng.choices(vocabulary, k=200)
+        rows += [(3 * k, " ".join(w)), (3 * k + 1, " ".join(w[:100] + ["other"] + w[101:])), (3 * k + 2, " ".join(rng.choices(vocabulary, k=150)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    made = minwise.sketches(df).select("digest", minwise.F.explode("keys").alias("key"))
+    every = minwise._shared(made).localCheckpoint()
+    assert every.count() > 30 * 20
+    assert minwise._distinct_lists(every).count() == 30 * 2
+    listed = df.where("doc_id % 3 < 2").select("doc_id")
+    near = {r.doc_id for r in minwise._maybe(df, listed).collect()}
+    assert near == {r.doc_id for r in listed.collect()}
+    assert {frozenset((r.a, r.b)) for r in minwise.links(df).collect()} == {frozenset((3 * k, 3 * k + 1)) for k in range(30)}

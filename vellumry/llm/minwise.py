@@ -20,6 +20,7 @@ pairs of blocks, each of which is again compared in full.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import accumulate, repeat
 
@@ -36,6 +37,8 @@ WORDS = 5
 SIMILARITY = 0.8
 SKETCH, BANDS, ROWS = 256, 20, 5
 LIST_ROWS = 1024
+#: Bits of the table that tells texts without a list before a shuffle.
+MARKS = 2 ** 26
 #: Bytes of the sketch, beyond those of the bands, that split the lists which parts leave open.
 FURTHER = tuple(range(BANDS * ROWS + 1, BANDS * ROWS + 6))
 #: Shared bytes of 256 from which a pair is verified: the expectation at the similarity, less five standard errors.
@@ -232,6 +235,42 @@ def _search(dealt: DataFrame, most: int | None) -> DataFrame:
     return dealt.mapInArrow(run, f"a {name}, b {name}, open long")
 
 
+def _shared(keyed: DataFrame) -> DataFrame:
+    """keyed (key, digest) where two or more texts have the key, with their number n and a digest of
+    the list, left and right."""
+    of = Window.partitionBy("key")
+    half = lambda seed: F.bit_xor(F.xxhash64("digest", F.lit(seed))).over(of)
+    return keyed.select("key", "digest", F.count("*").over(of).alias("n"), half(1).alias("left"), half(2).alias("right")).where("n > 1")
+
+
+def _distinct_lists(every: DataFrame) -> DataFrame:
+    """key and digest of lists, one of those that hold the same texts.  Copies share most of their
+    keys, and to search a list again finds the same links."""
+    same = ["n", "left", "right"]
+    first = every.groupBy(*same).agg(F.min("key").alias("key"))
+    return every.join(first, ["key", *same], "left_semi").select("key", "digest")
+
+
+def _maybe(docs: DataFrame, listed: DataFrame) -> DataFrame:
+    """docs whose doc_id may be one of listed: all that are, and few others.  A table of MARKS bits,
+    the same size for any input, goes to the tasks, so that other texts need not be shuffled."""
+    mark = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))
+    words = listed.select(mark.alias("m")).groupBy(F.floor(F.col("m") / 64).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(m % 64 AS INT)))").alias("bits")).toArrow()
+    table = np.zeros(MARKS // 64, np.int64)
+    table[words.column(0).to_numpy()] = words.column(1).to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(zlib.compress(table.tobytes(), 1))
+    memory: dict = {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not memory:
+            memory["table"] = np.frombuffer(zlib.decompress(shared.value), np.int64)
+        for b in batches:
+            at = b.column(2).to_numpy()
+            yield b.select([0, 1]).filter(pa.array(memory["table"][at >> 6] >> (at & 63) & 1 == 1))
+
+    return docs.select("doc_id", "text", mark.alias("m")).mapInArrow(run, docs.select("doc_id", "text").schema)
+
+
 def links(docs: DataFrame) -> DataFrame:
     """Links (a, b) of doc_ids; of texts with the same words only the smallest doc_id takes part.
 
@@ -243,31 +282,37 @@ def links(docs: DataFrame) -> DataFrame:
     made = stash(sketches(named), "minwise")
     kind = docs.schema["doc_id"].dataType
     texts = stash(made.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "minwise-texts")
+    release(made)
     keyed = texts.select(F.explode("keys").alias("key"), "digest")
-    members = stash(keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"), "minwise-keys")
-    ranks = members.groupBy("digest").agg(F.sum("n").alias("shares"))
+    every = stash(_shared(keyed), "minwise-keys")
+    ranks = every.groupBy("digest").agg(F.sum("n").alias("shares"))
     listed = stash(texts.join(ranks, "digest").select("digest", "doc_id", "shares", "sketch"), "minwise-listed")
+    release(texts)
+    members = stash(_distinct_lists(every), "minwise-lists")
+    release(every)
     # shingles of listed texts only: those of all would be as large as the texts
-    full = _shingled(named.join(listed.select("doc_id").distinct(), "doc_id", "left_semi")).groupBy("digest").agg(F.first("hashes").alias("hashes"))
+    near = _maybe(named, listed)
+    full = _shingled(near.join(listed.select("doc_id").distinct(), "doc_id", "left_semi")).groupBy("digest").agg(F.first("hashes").alias("hashes"))
     known = stash(listed.join(full, "digest"), "minwise-known")
+    release(listed)
     columns = ["shares", "doc_id", "sketch", "hashes"]
     first = stash(_search(members.select("key", "digest").join(known, "digest"), LIST_ROWS), "minwise-links")
     found, left = first.where("open is null").select("a", "b"), first.where("open is not null").select(F.col("open").alias("key"))
     if left.isEmpty():
-        return _whole(found, made, texts, members, listed, known, first)
+        return _whole(found, members, known, first)
     byte = lambda j: F.xxhash64("key", F.lit(j), F.substring("sketch", j + 1, 1))
     rest = members.join(left.distinct(), "key", "left_semi").select("key", "digest").join(known.select("digest", "sketch"), "digest")
     split = stash(rest.select(F.explode(F.array(*map(byte, FURTHER))).alias("key"), "digest"), "minwise-split")
     second = stash(_search(split.join(known, "digest"), LIST_ROWS), "minwise-links")
     found, left = found.unionByName(second.where("open is null").select("a", "b")), second.where("open is not null").select(F.col("open").alias("key"))
     if left.isEmpty():
-        return _whole(found, made, texts, members, listed, known, first, split, second)
+        return _whole(found, members, known, first, split, second)
     rest = split.join(left.distinct(), "key", "left_semi").join(known, "digest")
     blocks = rest.groupBy("key").agg(F.ceil(F.count("*") * 2 / LIST_ROWS).cast("int").alias("n"))
     mine, other = F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int"), F.col("other")
     pairs = rest.join(blocks, "key").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     third = _search(pairs.select(F.xxhash64("key", F.least("mine", other), F.greatest("mine", other)).alias("key"), *columns), None)
-    return _whole(found.unionByName(third.select("a", "b")), made, texts, members, listed, known, first, split, second)
+    return _whole(found.unionByName(third.select("a", "b")), members, known, first, split, second)
 
 
 def _whole(found: DataFrame, *inputs: DataFrame) -> DataFrame:
