@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pickle
 import random
 import re
 import time
@@ -181,6 +182,23 @@ def test_lm_attention_adds_to_the_experts(spark):
     assert history[-1] > history[0] and with_attention > fixed + 0.1, (history, with_attention, fixed)
 
 
+def test_lm_learns_from_every_window_and_travels_light(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices(["ba", "do", "fu", "gi"], k=rng.randint(1, 200))) for _ in range(50)]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    wanted = Counter(b" ".join(d[k:k + lm.WINDOW]) for d in (lm.tokens_of(t.encode()) for t in texts) for k in range(0, len(d), lm.WINDOW))
+    for times in (1, lm.ROUNDS):  # a large corpus and a small one
+        found = Counter(bytes(r.window) for n in range(lm.ROUNDS) for r in lm.training_windows(df.select("doc_id", "text"), n, times).collect())
+        assert found == Counter({w: times * c for w, c in wanted.items()})
+    assert lm.turns(10 ** 9) == 1 and lm.turns(1000) == lm.ROUNDS
+    counts = lm.word_counts(df, [])
+    n, v = counts.agg({"c": "sum", "word": "count"}).first()
+    model = lm.fit(df, counts, [], n, v, BYTE_RANKS, public_tokenizers.PATTERN)
+    data = pickle.dumps(model)
+    assert len(data) < 500_000 < model.chains.nbytes
+    assert np.array_equal(pickle.loads(data).chains, model.chains)
+
+
 def test_lm_without_language_and_with_long_texts(spark):
     long = "alpha beta gamma delta " * 50_000
     df = spark.createDataFrame([(1, long), (2, "alpha beta"), (3, None)], "doc_id long, text string")
