@@ -6,6 +6,7 @@ import pickle
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -199,6 +200,27 @@ def test_lm_learns_from_every_window_and_travels_light(spark):
     assert np.array_equal(pickle.loads(data).chains, model.chains)
 
 
+def test_lm_workers_stay_small(spark, monkeypatch):
+    """Chains are built a group at a time, and windows are cut by the worker that learns from them."""
+    rng, n = np.random.default_rng(1), lm.SUBWORDS + 1
+    counts = np.zeros((lm.GROUPS + 1, n, n))
+    counts[rng.integers(0, lm.GROUPS + 1, 5000), rng.integers(0, n, 5000), rng.integers(0, n, 5000)] = 3
+    chains = lm._chains(counts)
+    model = lm.Model([b"a", b""], np.ones((2, lm.GROUPS + 2)), np.ones(lm.GROUPS + 2), chains, 2, 2, BYTE_RANKS, public_tokenizers.PATTERN)
+    model.pack(lm.Pairs(counts) if hasattr(lm, "Pairs") else counts)
+    data = pickle.dumps(model)
+    tracemalloc.start()
+    back = pickle.loads(data)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(back.chains, chains) and peak < 2 * chains.nbytes
+    plans = []
+    monkeypatch.setattr(lm, "stash", lambda df, label, real=lm.stash: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df, label))
+    df = spark.createDataFrame([(i, "ba do fu gi " * 20, "en") for i in range(10)], "doc_id long, text string, lang string")
+    lm.fit(df, lm.word_counts(df, []), [], 700, 5, BYTE_RANKS, public_tokenizers.PATTERN)
+    assert len(plans) == lm.ROUNDS and all(p.count("MapInArrow") == 1 for p in plans)
+
+
 def test_lm_without_language_and_with_long_texts(spark):
     long = "alpha beta gamma delta " * 50_000
     df = spark.createDataFrame([(1, long), (2, "alpha beta"), (3, None)], "doc_id long, text string")
