@@ -1,5 +1,6 @@
 """Each operator over nulls, empty and long texts, repeated rows, empty tables and clashing columns."""
 
+import gc
 import hashlib
 import math
 import pickle
@@ -7,6 +8,7 @@ import random
 import re
 import time
 import tracemalloc
+import weakref
 import zlib
 from collections import Counter, defaultdict
 
@@ -15,7 +17,7 @@ import public_tokenizers
 import pytest
 import xxhash
 
-from vellumry.llm import components, lm, packing, pages, pieces, quality, secrets, simhash, token_counts, topk, urls
+from vellumry.llm import common, components, lm, packing, pages, pieces, quality, secrets, simhash, token_counts, topk, urls
 from vellumry.llm.common import scratch_path
 from vellumry.llm.queries import BYTE_RANKS, PIECES, WORD_BPE
 
@@ -308,6 +310,32 @@ def test_steiner_blocks_meet_every_triple_complement():
     assert all(sum(not set(b) & set(t) for b in simhash.BLOCKS) == 1 for t in combinations(range(8), 3))
 
 
+def test_driver_plans_stay_small(spark, monkeypatch):
+    """No step is planned several times over, and the driver holds no plan of a table that is done with."""
+    plans = []
+
+    def planned(df, label):
+        plans.append((label, df._jdf.queryExecution().optimizedPlan().toString()))
+        return common.stash(df, label)
+
+    monkeypatch.setattr(components, "stash", planned)
+    found = components.components(spark.createDataFrame([(1, 2), (2, 3), (4, 3), (7, 8)], "a long, b long"))
+    assert {(r.node, r.root) for r in found.collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (7, 7), (8, 7)}
+    assert max(p.count("Relation [") for _, p in plans) <= 4
+    plans.clear()
+    monkeypatch.setattr(quality, "stash", planned)
+    monkeypatch.setattr(quality, "MOST_STEPS", 1)
+    rows = spark.createDataFrame([(str(i % 2), "en", *(float(i * k % 7) for k in range(1, 6))) for i in range(40)], f"g string, lang string, {', '.join(f'{f} double' for f in quality.FEATURES)}")
+    assert quality.estimates(rows).count() == 2
+    assert max(p.count("Window [") for _, p in plans) <= 2
+    stored = common.stash(spark.range(3), "few")
+    assert stored in common._stored
+    held = weakref.ref(stored)
+    del stored
+    gc.collect()
+    assert held() is None
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

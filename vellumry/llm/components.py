@@ -31,9 +31,10 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """node and root, the least node of its component, for each node of edges (a, b).
 
     Each round is aggregated before it is joined, so a node with very many neighbours costs one
-    partial aggregate per task, and its join is split by AQE.  Each round is stored in the shared
-    folder, which cuts the lineage, and the rounds end when one changes no edge.  An edge table
-    without rows gives no rows.
+    partial aggregate per task, and its join is split by AQE.  Each half of a round is stored in the
+    shared folder, which cuts the lineage (the second half reads the first three times, and the driver
+    would plan it as often), and the rounds end when one changes no edge.  An edge table without rows
+    gives no rows.
     """
     now = stash(edges.select("a", "b").where("a != b").distinct(), "components")
     before, size = None, 0
@@ -46,5 +47,7 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         if settled:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
                 now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        before, now = now, stash(_small_star(_large_star(now)).distinct(), "components")
+        half = stash(_large_star(now), "components")
+        before, now = now, stash(_small_star(half).distinct(), "components")
+        release(half)
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import release, stash
 
 #: Share of a group that the estimate rests on (the usual choice between 0.5, which bears most
 #: outliers, and 1, which wastes no rows), and bins per e-fold of squared distance.
@@ -206,7 +206,10 @@ def estimates(rows: DataFrame) -> DataFrame:
     for _ in range(MOST_STEPS):
         near = rows.join(now.drop("lang"), "g").withColumn("bin", F.floor(F.log(_distance() + 1e-6) * BINS))
         binned = near.groupBy(*keys, "bin").agg(*_moments())
-        new = _estimates(stash(_shrunk(_nearest(binned, keys)), "mcd-moments"), keys, CONSISTENCY)
+        # stored before they are joined by their sums, as the plan would hold each step several times
+        nearest = stash(_nearest(binned, keys), "mcd-nearest")
+        new = _estimates(stash(_shrunk(nearest), "mcd-moments"), keys, CONSISTENCY)
+        release(nearest)
         if best is None:
             now = best = stash(new, "mcd")
             continue
