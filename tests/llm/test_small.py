@@ -14,6 +14,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -223,6 +224,41 @@ def test_lm_workers_stay_small(spark, monkeypatch):
     assert len(plans) == lm.ROUNDS and all(p.count("MapInArrow") == 1 for p in plans)
 
 
+def test_lm_cuts_a_short_text_once_and_each_window_once(monkeypatch):
+    texts = [(i, b" ".join(b"w%d" % (k % 97) for k in range(n))) for i, n in enumerate([0, 1, 31, 32, 500, 2046, 2047, 2048, 9000] * 3)]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in texts]), pa.array([t for _, t in texts])], ["doc_id", "text"])
+    cuts = []
+    monkeypatch.setattr(lm, "tokens_of", lambda t, real=lm.tokens_of: cuts.append(len(t)) or real(t))
+    found = Counter(b" ".join(w) for turn in range(lm.ROUNDS) for w in lm._cut(batch, turn, 1))
+    assert sum(n < 2000 for n in cuts) == sum(len(t) < 2000 for _, t in texts)  # before: in each round
+    assert found == Counter(b" ".join(d[k:k + lm.WINDOW]) for d in (lm.tokens_of(t) for _, t in texts) for k in range(0, len(d), lm.WINDOW))
+
+
+def test_lm_gradients_of_long_words_and_large_scores():
+    """A word of many subword ids, and scores whose exponentials are no numbers unless the largest is taken off."""
+    word = bytes(random.Random(4).choices(range(128, 255), k=100))
+    model = _toy_model([b"a b c a b", b"x " + word + b" z x"])
+    batch = [lm.tokens_of(b"a b " + word + b" c"), lm.tokens_of(b"x zz " + word + b" " + word[:40] + b" a b")]
+    seen = np.hstack([model.left_out(), model.top_logs[:, model.size:]])
+    for p in model.params:
+        model.params[p] = model.params[p].astype(np.float64)
+    for factor in (1, 30):
+        model.params["q"] *= factor
+        _, n, grads = lm._gradients(model, batch, seen)
+        flat, g = model.params["e"].reshape(-1), grads["e"].reshape(-1)
+        for at in {int(np.argmax(np.abs(g))), model.parse(word)[-1] * lm.DIM}:
+            old, eps = flat[at], 1e-5
+            flat[at] = old + eps
+            up = lm._gradients(model, batch, seen)[0]
+            flat[at] = old - eps
+            down = lm._gradients(model, batch, seen)[0]
+            flat[at] = old
+            assert np.isclose(-(up - down) / (2 * eps) * np.log(10) / n, g[at], rtol=2e-2, atol=1e-5)
+    for scale in (1, 1000):
+        x = np.random.default_rng(0).normal(0, scale, (3, 20, lm.DIM)).astype(np.float32)
+        assert np.isfinite(model.attend(x, 4)).all()
+
+
 def test_lm_without_language_and_with_long_texts(spark):
     long = "alpha beta gamma delta " * 50_000
     df = spark.createDataFrame([(1, long), (2, "alpha beta"), (3, None)], "doc_id long, text string")
